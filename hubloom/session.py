@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,22 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.config(map=defaults | conf).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        package = Path(__file__).parent
+        at = tempfile.mkdtemp(prefix="hubloom-code-")
+        atexit.register(shutil.rmtree, at, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/hubloom", "zip", package.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
