@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from hubloom.functions.packed import packed_items, whole_number
 from hubloom.llm.components import components
 from hubloom.llm.lookalike import canonicalize, look_pairs
+from hubloom.llm.mixing import mix
+from hubloom.llm.packing import fill_report, pack
+from hubloom.llm.ranking import rank_items
 from hubloom.session import table
 
 #: Node numbers are vertices from here on, hubs below: a set's smallest vertex is its smallest hub.
@@ -51,6 +54,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return under.unionByName(seeds.withColumn("merged_id", F.col("group_id")))
 
 
+def p3_criteria_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All criteria in one order, with strengths."""
+    votes, criteria = table(spark, sf_dir, "ahp_expert_comparisons"), table(spark, sf_dir, "ahp_criteria")
+    return rank_items(votes, criteria, "criterion", "criterion_a", "criterion_b", "value", "expert")
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return fill_report(pack(table(spark, sf_dir, "documents")))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source really got."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in one form."""
     return canonicalize(table(spark, sf_dir, "documents")).select("doc_id", "canonical", "look_hash")
@@ -62,7 +91,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_groups, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
