@@ -91,6 +91,22 @@ def ranked(df: DataFrame, by: str, name: str = "rank", pool: Column | None = Non
     return df.withColumn(name, F.when(F.col(by).isNotNull(), f().over(w)).cast("bigint"))
 
 
+def global_rank(df: DataFrame, by: str, name: str = "rank", digits: int = 2) -> DataFrame:
+    """df with the min rank by falling `by` over all rows, for tables of any size.
+
+    Values are counted first, then the counts by range of values (rounded to `digits`):
+    a window runs over the ranges' totals, another within each range. Null has no rank.
+    """
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(by) * 10**digits))
+    totals = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
+    before = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    above = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_above"))
+    inside = W.partitionBy("_range").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)
+    place = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(above, "_range")
+    place = place.select(by, (F.col("_above") + F.col("_in") + 1).cast("bigint").alias(name))
+    return df.join(place, by, "left")
+
+
 def top_per_group(df: DataFrame, group: str, by: str, tie: str, n: int) -> DataFrame:
     w = W.partitionBy(group).orderBy(F.desc(by), tie)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
