@@ -26,13 +26,35 @@ def with_range(df: DataFrame, value: Column, by: str | None, prefix: str) -> Dat
     return v.join(per.where(F.col(by).isNotNull()), by, "left")
 
 
-def normalised(df: DataFrame, name: str, value: Column, by: str | None = None, clip: bool = True, keep: bool = False) -> DataFrame:
-    """df with `name`: the value scaled to 1..10 per group or overall; null for null values and null groups."""
-    v = rules.no_nan(value)
-    out = with_range(df, v, by, f"_{name}")
-    scaled = rules.minmax(F.col(f"_{name}_v"), F.col(f"_{name}_min"), F.col(f"_{name}_max"), clip=clip)
-    out = out.withColumn(name, scaled)
-    return out if keep else out.drop(f"_{name}_v", f"_{name}_min", f"_{name}_max")
+def normalised_all(df: DataFrame, scores: dict[str, tuple[Column, str | None]], clip: bool = True) -> DataFrame:
+    """df with a column for each score: name -> (value, group column or None for overall), scaled to 1..10.
+
+    All ranges come from one aggregation by the group, whose rows are as few as the groups;
+    the overall ones are aggregated from those. Null values and null groups give null.
+    {name}_most, the largest value of its range, stays for rules that need it.
+    """
+    groups = {by for _, by in scores.values() if by is not None}
+    if len(groups) > 1:
+        raise ValueError("scores may share one group column")
+    by = next(iter(groups), None)
+    v = df.withColumns({f"_v_{n}": rules.no_nan(value.cast("double")) for n, (value, _) in scores.items()})
+    ends = [f(f"_v_{n}").alias(f"{k}_{n}") for n in scores for k, f in (("_a", F.min), ("_b", F.max))]
+    per = v.groupBy(*([by] if by else [])).agg(*ends)
+    out = v
+    whole = [n for n, (_, g) in scores.items() if g is None]
+    if whole:
+        one = per.agg(*(f(f"{k}_{n}").alias(f"{k}_{n}") for n in whole for k, f in (("_a", F.min), ("_b", F.max))))
+        out = out.crossJoin(F.broadcast(one))
+    if by:
+        grouped = [n for n in scores if n not in whole]
+        out = out.join(per.where(F.col(by).isNotNull()).select(by, *(f"{k}_{n}" for n in grouped for k in ("_a", "_b"))), by, "left")
+    scaled = {n: rules.minmax(F.col(f"_v_{n}"), F.col(f"_a_{n}"), F.col(f"_b_{n}"), clip=clip) for n in scores}
+    return out.select(*df.columns, *(c.alias(n) for n, c in scaled.items()), *(F.col(f"_b_{n}").alias(f"{n}_most") for n in scores))
+
+
+def normalised(df: DataFrame, name: str, value: Column, by: str | None = None, clip: bool = True) -> DataFrame:
+    """df with `name`: the value scaled to 1..10 per group or overall."""
+    return normalised_all(df, {name: (value, by)}, clip).drop(f"{name}_most")
 
 
 def log_positive(df: DataFrame, name: str, value: Column, by: str) -> DataFrame:
@@ -53,13 +75,18 @@ def criteria(df: DataFrame) -> DataFrame:
     pop, jobs = ([F.col(f"{k}{i}") for i in (1, 2, 3)] for k in ("pop", "emp"))
     place = rules.first_contained(F.col("area"), S.REGION_WEIGHTS, 0.5) * rules.first_contained(F.col("location"), S.POSITION_WEIGHTS, 1.5)
     terminal = F.when(F.col("near"), rules.first_contained(F.col("term_type"), S.TERMINAL_WEIGHTS, 1.0)).otherwise(0.0)
-    out = normalised(df, "activity_score", rules.log10_or_zero(F.col("demand")), "tier")
-    out = normalised(out, "service_score", rules.mode_service(F.col("modes"), F.col("lines")), "tier")
-    out = normalised(out, "location_score", place)
-    out = normalised(out, "pop_jobs_score", rules.pop_jobs(pop, jobs, F.col("tier")), "tier")
-    out = normalised(out, "terminal_score", terminal, keep=True)
-    score = F.when(F.col("_terminal_score_max") > 0, F.col("terminal_score")).otherwise(1.0)
-    return out.withColumn("terminal_score", score).drop("_terminal_score_v", "_terminal_score_min", "_terminal_score_max")
+    out = normalised_all(
+        df,
+        {
+            "activity_score": (rules.log10_or_zero(F.col("demand")), "tier"),
+            "service_score": (rules.mode_service(F.col("modes"), F.col("lines")), "tier"),
+            "location_score": (place, None),
+            "pop_jobs_score": (rules.pop_jobs(pop, jobs, F.col("tier")), "tier"),
+            "terminal_score": (terminal, None),
+        },
+    )
+    score = F.when(F.col("terminal_score_most") > 0, F.col("terminal_score")).otherwise(1.0)
+    return out.withColumn("terminal_score", score).drop(*(f"{c}_most" for c in CRITERIA))
 
 
 def weighted(columns: Iterable[str], weights: Iterable[float]) -> Column:

@@ -13,7 +13,7 @@ from hubloom.operators import score as C
 from hubloom.plans.analog import hubs
 from hubloom.plans.registry import Registry
 from hubloom.plans.scoring import SCORED
-from hubloom.session import table
+from hubloom.session import ship, table, written
 
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
@@ -188,8 +188,6 @@ def example(spark: SparkSession) -> DataFrame:
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {w}::DOUBLE)" for e, ws in EXPECTED.items() for c, w in zip(EXAMPLE_CRITERIA, ws)) + ") t(expert, criterion, weight)")
 def ahp_eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hubloom.session import ship
-
     ship(spark)
     return H.priorities(H.matrices(example(spark))).select("expert", "criterion", F.round("weight", 4).alias("weight"))
 
@@ -204,7 +202,8 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.col(C.CRITERIA[0])
     for c in C.CRITERIA[1:]:
         total = total + F.col(c)
-    return r.select("hub", F.round(C.weighted(C.CRITERIA, _EW.values()), 4).alias("ahp"), F.round(total * 0.2, 4).alias("mc"))
+    both = r.select("hub", F.round(C.weighted(C.CRITERIA, _EW.values()), 4).alias("ahp"), F.round(total * 0.2, 4).alias("mc"))
+    return written(both)[0]  # two rankings read it
 
 
 @query(f"{BOTH} SELECT hub, ahp, rank() OVER (ORDER BY ahp DESC)::BIGINT AS ahp_rank FROM b")
