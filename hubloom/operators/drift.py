@@ -108,7 +108,8 @@ def bind_fields(long: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS) -> D
             for k in ("whole", "point", "string", "boolean", "nested")
         )
     )
-    named = columns.withColumn("named", _by_name(F.col("key"), fields))
+    # tables that several steps read are written: plans stay small, and nothing is parsed or joined twice
+    named, _ = written(columns.withColumn("named", _by_name(F.col("key"), fields)))
     # files that lack a field their feed has elsewhere may have it under an unknown key
     have = F.collect_set("named")
     lacking = (
@@ -120,7 +121,8 @@ def bind_fields(long: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS) -> D
     values = long.select("feed_id", "file_id", "record_id", "key", number(F.col("value")).alias("v")).withColumn(
         "named", _by_name(F.col("key"), fields)
     ).where(F.col("v").isNotNull())
-    in_feed = values.join(lacking.select("feed_id").distinct(), "feed_id", "left_semi")
+    lacking, _ = written(lacking)
+    in_feed, _ = written(values.join(lacking.select("feed_id").distinct(), "feed_id", "left_semi"))
     unknown = in_feed.where(F.col("named").isNull()).join(lacking, ["feed_id", "file_id"])
     whole = lambda c: F.when(c == F.floor(c), c.try_cast("bigint"))
     at = in_feed.where(F.col("named") == names[0]).select("feed_id", "record_id", whole(F.col("v")).alias("node"))
@@ -139,6 +141,7 @@ def bind_fields(long: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS) -> D
     at = at.unionByName(
         tried.join(nodes, ["feed_id", "file_id", "key"], "left_semi").select("feed_id", "record_id", "node")
     ).where(F.col("node").isNotNull())
+    at, _ = written(at)
     # what the feed usually has for a node under each field's known spellings
     usual = (
         in_feed.where(F.col("named").isNotNull() & (F.col("named") != names[0]))
@@ -191,6 +194,7 @@ def schema_changes(
         F.max(_plain(F.col("key")).isin(parts)).alias("in_parts"),
         most.alias("most"),
     )
+    per_field, _ = written(per_field)
     order = W.partitionBy("feed_id").orderBy("released", "file_id")
     known = files.where(
         F.col("file_id").isNotNull() & F.col("feed_id").isNotNull() & F.col("released").isNotNull()
