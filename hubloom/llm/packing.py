@@ -23,6 +23,7 @@ from hubloom.llm.tokens import VOCABULARY, with_tokens
 
 CAPACITY, MAX_DOCS = 2048, 256
 SHARD = 20_000
+MOST_TASKS = 10_000
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
@@ -101,7 +102,9 @@ def pack(
     # by row, not by id: an id that very many rows share doesn't make a large shard
     deal = F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards))
     out = f"id {kind}, piece int, start_token bigint, n_tokens bigint, container_id bigint"
-    return pieces.withColumn("shard", deal).groupBy("shard").applyInPandas(fill, out).withColumnRenamed("id", id)
+    # a given number of partitions, as one task may not fill many shards one after another
+    dealt = pieces.withColumn("shard", deal).repartition(min(shards, MOST_TASKS), "shard")
+    return dealt.groupBy("shard").applyInPandas(fill, out).withColumnRenamed("id", id)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
