@@ -4,8 +4,8 @@ The text is taken apart in the JVM, by expressions alone:
 
 1. wrappers such as ``np.int64(7)`` and quotes around a whole inner list are removed;
 2. every quoted span is exchanged for a placeholder that holds its index, so that
-   delimiters inside quotes no longer count. The character that opens a placeholder is
-   itself written as a placeholder where the text holds it already: nothing can collide;
+   delimiters inside quotes no longer count. The characters that placeholders use are
+   themselves written as such where the text holds them already: nothing can collide;
 3. brackets and the remaining delimiters are split;
 4. each placeholder is looked up in the array of spans, and unquoted and unescaped;
 5. the items are exploded with their positions.
@@ -13,34 +13,52 @@ The text is taken apart in the JVM, by expressions alone:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\ue000", "\ue001"
-#: A quoted span that begins and ends an item: "" and a backslash escape a quote inside it.
-SPAN = (
-    r"""(?<![^\s,;|/\[{(])(?:"(?:[^"\\]|\\.|"")*"(?!")|'(?:[^'\\]|\\.)*')(?=[\s,;|/\]})]|$)"""
-)
+#: Escaped characters while the text is taken apart.
+ESCAPED = (("\\\\", "\ue004", "\\"), ('\\"', "\ue002", '"'), ("\\'", "\ue003", "'"))
+#: A quoted span that begins an item or another span, and ends one. Escapes are out of the
+#: way by then, and a doubled quote is two spans side by side, so this has no inner loops:
+#: Java's matcher would need stack for each of their turns, and texts may be very long.
+SPAN = r"""(?<![^\s,;|/\[{("])"[^"]*+"(?=[\s,;|/\]})"]|$)|(?<![^\s,;|/\[{(])'[^']*+'(?=[\s,;|/\]})]|$)"""
 #: Values that stand for no value.
 EMPTY = ("", "nan", "none")
 
 
-def _spans_out(text: Column, span: str) -> tuple[Column, Column]:
-    """The text with placeholders, and the array of spans."""
-    spans = F.regexp_extract_all(text, F.lit(span), F.lit(0))
-    gaps = F.split(text, span, -1)
-    marks = F.concat(
-        F.transform(spans, lambda s, i: F.concat(F.lit("," + OPEN), i.cast("string"), F.lit(CLOSE + ","))),
-        F.array(F.lit("")),
-    )
-    return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""), spans
+def _reserved() -> list[tuple[str, str]]:
+    """The characters with a meaning here, and what stands for them where the text holds them."""
+    return [(c, f"{OPEN}-{name}{CLOSE}") for c, name in zip((OPEN, *(e[1] for e in ESCAPED)), "abcd")]
+
+
+def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once however often f uses it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _unquoted(span: Column) -> Column:
-    """A span without its quotes and escapes; a protected phrase as it is."""
-    inner = span.substr(F.lit(2), F.length(span) - 2)
-    doubled = F.when(span.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(inner)
-    return F.when(span.rlike(r"""^["']"""), F.regexp_replace(doubled, r"\\(.)", "$1")).otherwise(span)
+def _with_placeholders(gaps: Column, spans: Column) -> Column:
+    marks = F.concat(F.transform(spans, lambda s, i: F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE))), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    # blanks beside a span always separate
+    return F.regexp_replace(whole, rf"(?<=\d{CLOSE})\s+|\s+(?={OPEN}\d)", ",")
+
+
+def _body(span: Column) -> Column:
+    """A span without its quotes; a protected phrase as it is."""
+    return F.when(span.rlike(r"""^["']"""), span.substr(F.lit(2), F.length(span) - 2)).otherwise(span)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def packed_items(text: Column, blanks: str = "codes", phrases: tuple[str, ...] = ()) -> Column:
@@ -50,39 +68,39 @@ def packed_items(text: Column, blanks: str = "codes", phrases: tuple[str, ...] =
     all words around it are codes, that is hold a letter and a digit, so that names
     such as ``Nenet Line 7`` stay whole. phrases: items known to hold blanks, kept whole.
     Repeated items stay; empty ones, nan and None are left out. A null text gives null,
-    an empty one no items. An unclosed quote is an ordinary character.
+    an empty one no items. A quote within a word, or never closed, is an ordinary character.
     """
-    t = F.replace(text, F.lit(OPEN), F.lit(OPEN + "-" + CLOSE))
+    t = _replaced(text, _reserved())
+    t = _replaced(t, [(written, kept) for written, kept, _ in ESCAPED])
     t = F.regexp_replace(t, r"\bnp\.\w+\(([^()]*)\)", "$1")
     t = F.regexp_replace(t, r"""(?<![^\s,\[{])["'](?=\s*\[)|(?<=\])\s*["'](?=\s*[,\]}]|\s*$)""", " ")
     span = SPAN
     if phrases:
         words = "|".join(rf"\Q{p}\E" for p in sorted(phrases, key=len, reverse=True))
-        span = SPAN + rf"|(?<![^\s,;|/\[{{(])(?:{words})(?=[\s,;|/\]}})]|$)"
-    t, spans = _spans_out(t, span)
-    chunks = F.split(F.regexp_replace(t, r"[\[\]{}]", ","), r"[,;|/\t\r\n]+")
-    if blanks == "always":
-        parts = F.flatten(F.transform(chunks, lambda c: F.split(F.trim(c), r"\s+")))
-    else:
-        codes = r"^(?:(?=\S*\d)(?=\S*\p{L})\S+\s+)+(?=\S*\d)(?=\S*\p{L})\S+$"
-        parts = F.flatten(
-            F.transform(
-                chunks,
-                lambda c: F.when(F.trim(c).rlike(codes), F.split(F.trim(c), r"\s+")).otherwise(F.array(c)),
-            )
-        )
-    mark = rf"^{OPEN}(\d+){CLOSE}$"
-    restored = F.transform(
-        F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")),
-        lambda p: F.when(
-            p.rlike(mark), _unquoted(F.get(spans, F.regexp_extract(p, mark, 1).try_cast("int")))
-        ).otherwise(p),
-    )
-    plain = F.transform(
-        restored,
-        lambda p: F.regexp_replace(F.replace(p, F.lit(OPEN + "-" + CLOSE), F.lit(OPEN)), r"^\s+|\s+$", ""),
-    )
-    return F.filter(plain, lambda p: ~F.lower(p).isin(*EMPTY))
+        span += rf"|(?<![^\s,;|/\[{{(])(?:{words})(?=[\s,;|/\]}})]|$)"
+
+    def words(c: Column) -> Column:
+        parts = F.split(c, r"\s+")
+        if blanks == "always":
+            return parts
+        codes = F.forall(parts, lambda w: w.rlike(r"\d") & w.rlike(r"\p{L}"))
+        return F.when((F.size(parts) > 1) & codes, parts).otherwise(F.array(c))
+
+    def items(taken: Column) -> Column:
+        spans = taken["spans"]
+        chunks = F.transform(F.split(F.regexp_replace(_with_placeholders(taken["gaps"], spans), r"[\[\]{}]", ","), r"[,;|/\t\r\n]+"), _trimmed)
+
+        def restored(p: Column) -> Column:
+            numbers = F.regexp_extract_all(p, F.lit(rf"{OPEN}(\d+){CLOSE}"), F.lit(1))
+            bodies = F.transform(numbers, lambda i: _body(F.get(spans, i.try_cast("int"))))
+            return F.when(p.rlike(rf"^{OPEN}\d") & p.rlike(rf"\d{CLOSE}$"), F.array_join(bodies, '"')).otherwise(p)
+
+        back = [(kept, c) for _, kept, c in ESCAPED] + [(n, o) for o, n in _reserved()]
+        all_items = F.transform(F.flatten(F.transform(chunks, words)), restored)
+        return F.transform(all_items, lambda p: _trimmed(_replaced(F.regexp_replace(p, r"\\(.)", "$1"), back)))
+
+    taken = _let(t, lambda x: F.struct(F.regexp_extract_all(x, F.lit(span), F.lit(0)).alias("spans"), F.split(x, span, -1).alias("gaps")))
+    return F.filter(_let(taken, items), lambda p: ~F.lower(p).isin(*EMPTY))
 
 
 def whole_number(item: Column) -> Column:
