@@ -22,8 +22,8 @@ import hashlib
 import re
 import unicodedata as ud
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,7 +91,22 @@ def folded(text: str) -> str:
     return ud.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").translate(_FOLDS))
 
 
-@lru_cache(200_000)
+#: Longer words are no vocabulary: they are spelled by the table.
+LONGEST = 64
+
+
+def _kept(f: Callable) -> Callable:
+    """f with its results kept, but for very long words."""
+    kept = lru_cache(200_000)(f)
+
+    @wraps(f)
+    def g(word: str):
+        return kept(word) if len(word) <= LONGEST else f(word)
+
+    return g
+
+
+@_kept
 def look(word: str) -> str:
     """The look of a folded word: every look-alike as its Latin letter."""
     return word if word.isascii() else ud.normalize("NFC", ud.normalize("NFD", word).translate(LOOKS))
@@ -103,13 +118,13 @@ def _script(ch: str) -> str:
     return "Greek" if "\u0370" <= ch <= "\u03ff" else "Cyrillic" if "\u0400" <= ch <= "\u052f" else "other"
 
 
-@lru_cache(200_000)
+@_kept
 def scripts(look_of_word: str) -> frozenset[str]:
     """The scripts of a look's unmistakable letters."""
     return frozenset(_script(c) for c in ud.normalize("NFD", look_of_word) if c.isalpha() and c not in AMBIGUOUS)
 
 
-@lru_cache(200_000)
+@_kept
 def by_table(look_of_word: str) -> str:
     """The spelling of a look no vocabulary knows."""
     table = {frozenset({"Cyrillic"}): TO_CYRILLIC, frozenset({"Greek"}): TO_GREEK}.get(scripts(look_of_word))
@@ -118,10 +133,13 @@ def by_table(look_of_word: str) -> str:
     return ud.normalize("NFC", ud.normalize("NFD", look_of_word).translate(table))
 
 
-@lru_cache(200_000)
+@_kept
 def undecided(word: str) -> bool:
     """Whether only a vocabulary can tell a word's script: all its letters have look-alikes."""
-    shown = ud.normalize("NFD", look(word))
+    shown = look(word)
+    if len(shown) > LONGEST:
+        return False
+    shown = ud.normalize("NFD", shown)
     return any(c.isalpha() for c in shown) and all(c in AMBIGUOUS for c in shown if c.isalpha())
 
 
