@@ -74,6 +74,20 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def written_by(df: DataFrame, column: str) -> str:
+    """Like `written`, with a folder {path}/{column}={value} for each value that has rows; the path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hubloom-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    atexit.register(_quietly_drop, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Cuts the lineage: df as a Parquet table in the shared folder, and its path.
 
