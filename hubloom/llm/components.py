@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubloom.session import drop_written, written
+from hubloom.session import drop_written, exists, written, written_by
+
+EDGE, TREE = 0, 1
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -27,35 +29,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     """
     spark = edges.sparkSession
     known = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u is not null and v is not null")
-    pairs, base = written(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs, _ = written(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     loops = pairs.where("u = v").select("u")
     ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     graph = pairs.where("u <> v").select(F.inline(ways))
-    forest: list[DataFrame] = []
-    old = None
+    layers: list[str] = []
+    old = ""
     for _ in range(max_rounds):
         least = graph.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         pointed = graph.join(least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
-        chosen, chosen_at = written(pointed.distinct())
+        chosen = pointed.distinct()
         top = chosen.groupBy("x").agg(F.min("m").alias("top"), F.max(F.col("m") == F.col("x")).alias("stays"))
-        dropped, _ = written(top.where("not stays").select(F.col("x").alias("child"), F.col("top").alias("parent")))
-        forest.append(dropped)
-        left = chosen.join(top, "x").where("m <> top").select(F.col("top").alias("u"), F.col("m").alias("v")).distinct()
-        rest, rest_at = written(left.select(F.inline(ways)))
-        drop_written(spark, chosen_at)
+        # of each vertex: its edges to the least id it was pointed to, and, once, the tree edge if it drops out
+        edge = F.array(F.struct(F.lit(EDGE).alias("kind"), F.col("top").alias("u"), F.col("m").alias("v")), F.struct(F.lit(EDGE).alias("kind"), F.col("m").alias("u"), F.col("top").alias("v")))
+        drop = F.array(F.struct(F.lit(TREE).alias("kind"), F.col("x").alias("u"), F.col("top").alias("v")))
+        out = F.when(F.col("m") != F.col("top"), edge).when(~F.col("stays"), drop)
+        at = written_by(chosen.join(top, "x").select(F.inline(out)).distinct(), "kind")
+        if exists(spark, f"{at}/kind={TREE}"):
+            layers.append(f"{at}/kind={TREE}")
         if old:
-            drop_written(spark, old)
-        graph, old = rest, rest_at
-        if rest.isEmpty():
+            drop_written(spark, f"{old}/kind={EDGE}")
+        old = at
+        if not exists(spark, f"{at}/kind={EDGE}"):
             break
+        graph = spark.read.schema("u bigint, v bigint").parquet(f"{at}/kind={EDGE}")
     else:
         raise RuntimeError(f"not consolidated after {max_rounds} rounds")
-    tree = forest[0]
-    for layer in forest[1:]:
-        tree = tree.unionByName(layer)
+    tree = spark.createDataFrame([], "child bigint, parent bigint")
+    if layers:
+        tree = spark.read.schema("u bigint, v bigint").parquet(*layers).select(F.col("u").alias("child"), F.col("v").alias("parent"))
     # a parent is always smaller than its child, so every path ends in a seed
-    old = None
-    while True:
+    old = ""
+    while layers:
         # only parents that hang under another go on; each is one row here, however many children it has
         onward = tree.join(tree.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
         if onward.isEmpty():
