@@ -33,7 +33,7 @@ def clean_line_name(c: Column) -> Column:
 
 
 def hebrew_letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^֐-׿]", ""))
+    return F.length(F.regexp_replace(c, r"[^\u0590-\u05FF]", ""))
 
 
 def hebrew_ratio(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from pathlib import PurePosixPath
@@ -53,10 +54,10 @@ def sniff_encoding(spark: SparkSession, path: str, columns: Iterable[str] | None
     """
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
     raw = bytes(head["c"]) if head else b""
-    try:
-        if any("֐" <= ch <= "׿" for ch in raw.decode("utf-8", "ignore")) and raw[: 1 << 15].decode("utf-8", "ignore").encode() == raw[: 1 << 15][: len(raw[: 1 << 15].decode("utf-8", "ignore").encode())]:
+    try:  # the head may end within a character
+        if any("\u0590" <= ch <= "\u05ff" for ch in codecs.getincrementaldecoder("utf-8")().decode(raw)):
             return "utf-8"
-    except UnicodeError:
+    except UnicodeDecodeError:
         pass
     for encoding in encodings:
         df = csv(spark, path, encoding)
@@ -126,7 +127,8 @@ def taz_zones(df: DataFrame) -> DataFrame:
     for name, candidates in (("pop_2050", ("POP_2050", "POP")), ("empl_2050", ("EMPL_2050", "EMPL", "EMP"))):
         c = resolve(df.columns, candidates, partly=True)
         value = F.coalesce(rules.no_nan(F.col(f"`{c}`").try_cast("double")), F.lit(0.0)) if c else F.lit(0.0)
-        out = (out.drop(c) if c and c != name else out).withColumn(name, value)
+        out = out.withColumn(name, value)
+        out = out.drop(c) if c and c.lower() != name else out
     return out
 
 
