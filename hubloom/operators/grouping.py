@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hubloom.operators.numbering import number_in_order
 from hubloom.session import drop_written, written
 
 
+def _observed(links: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The links written, with their number and the sum of their hashes, taken while writing."""
+    seen = Observation()
+    out, at = written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return out, at, (seen.get["n"], seen.get["h"])
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """id, root: each linked id with the smallest of its group. Null ends and loops are left out.
 
@@ -17,19 +24,16 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 10
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    e, at = written(e)
-    print_of = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = print_of(e)
+    e, at, before = _observed(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after, after_at = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        after, after_at, now = _observed(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         drop_written(spark, at)
         e, at = after, after_at
-        now = print_of(e)
         if now == before:
             break
         before = now

@@ -97,14 +97,21 @@ def with_ranks(sim: DataFrame, id: str) -> DataFrame:
 
 def distributions(ranked: DataFrame, id: str) -> DataFrame:
     """Per id: mean, median, std, min, max, percentiles, IQR, mean rank and the share of iterations in the top 1, 3 and 5."""
-    q = F.percentile("score", F.array(*map(F.lit, QUANTILES)))
     out = ranked.groupBy(id).agg(
-        F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), q.alias("_q"),
+        F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), F.sort_array(F.collect_list("score")).alias("_s"),
         F.avg("rank").alias("mean_rank"), *(F.avg((F.col("rank") <= k).cast("double")).alias(f"p_top{k}") for k in (1, 3, 5)),
     )
-    for i, x in enumerate(QUANTILES):
-        out = out.withColumn("median" if x == 0.5 else f"p{round(100 * x):02d}", F.col("_q")[i])
-    return out.withColumn("iqr", F.col("p75") - F.col("p25")).drop("_q")
+    names = {x: "median" if x == 0.5 else f"p{round(100 * x):02d}" for x in QUANTILES}
+    out = out.withColumns({n: _quantile(F.col("_s"), x) for x, n in names.items()})
+    return out.withColumn("iqr", F.col("p75") - F.col("p25")).drop("_s")
+
+
+def _quantile(ordered: Column, x: float) -> Column:
+    """Linear interpolation between the ordered values; one id has as many as there are iterations."""
+    at = (F.size(ordered) - 1) * F.lit(x)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+    return a + (b - a) * (at - low)
 
 
 def robust_winners(stats: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:

@@ -23,7 +23,7 @@ queries, oracle_sql = query.queries, query.oracle_sql
 SUPPLIERS = "s AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 1000)::DOUBLE AS x, ((s_suppkey * 104729) % 1000)::DOUBLE AS y FROM supplier)"
 CUSTOMERS = "c AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 20011)::DOUBLE AS x, ((c_custkey * 104729) % 20021)::DOUBLE AS y FROM customer)"
 TERMINALS = "t AS (SELECT s_suppkey AS tid, ((s_suppkey * 15485863) % 20011)::DOUBLE AS x, ((s_suppkey * 32452843) % 20021)::DOUBLE AS y, (s_suppkey % 4)::BIGINT AS category FROM supplier)"
-ZONES = "z AS (SELECT p_partkey AS zid, ((p_partkey * 31) % 20011)::DOUBLE AS x0, ((p_partkey * 977) % 20021)::DOUBLE AS y0, ((p_partkey * 31) % 20011 + 100 + p_size * 10)::DOUBLE AS x1, ((p_partkey * 977) % 20021 + 150 + p_size * 8)::DOUBLE AS y1, p_retailprice AS pop, p_size::DOUBLE AS emp FROM part)"
+ZONES = "z AS (SELECT p_partkey AS zid, ((p_partkey * 31) % 20011)::DOUBLE AS x0, ((p_partkey * 977) % 20021)::DOUBLE AS y0, ((p_partkey * 31) % 20011 + 100 + p_size * 10)::DOUBLE AS x1, ((p_partkey * 977) % 20021 + 150 + p_size * 8)::DOUBLE AS y1, p_retailprice * 1.000731::DOUBLE AS pop, p_size * 1.03717::DOUBLE AS emp FROM part)"
 LINK = 60.0
 
 
@@ -48,7 +48,7 @@ def _boxes(spark, sf_dir):
     p, s = F.col("p_partkey"), F.col("p_size")
     x0, y0 = (p * 31) % 20011, (p * 977) % 20021
     ends = {"x0": x0, "y0": y0, "x1": x0 + 100 + s * 10, "y1": y0 + 150 + s * 8}
-    return table(spark, sf_dir, "part").select(p.alias("zid"), *(c.cast("double").alias(n) for n, c in ends.items()), F.col("p_retailprice").alias("pop"), s.cast("double").alias("emp"))
+    return table(spark, sf_dir, "part").select(p.alias("zid"), *(c.cast("double").alias(n) for n, c in ends.items()), (F.col("p_retailprice") * 1.000731).alias("pop"), (s * 1.03717).alias("emp"))
 
 
 _PAIRS = f"{SUPPLIERS}, pairs AS (SELECT a.id AS id_a, b.id AS id_b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {LINK * LINK})"
