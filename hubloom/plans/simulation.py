@@ -17,7 +17,7 @@ from hubloom.session import ship, table, written
 
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
-DRAWS = 200
+DRAWS = 100
 N = len(C.CRITERIA)
 
 _U = ", ".join(f"((i * 1103515245 + 12345 * {j + 1} + i * {7919 * (j + 1) * (j + 3)}) % 2147483648) / 4294967296.0::DOUBLE + 1e-6::DOUBLE AS u{j}" for j in range(N))

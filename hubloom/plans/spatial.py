@@ -74,13 +74,13 @@ def proximity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {_GROUPS}, note AS (SELECT s_nationkey AS note, s_suppkey AS id FROM supplier WHERE s_nationkey < 5), gl AS (SELECT DISTINCT n.note, grp.g FROM note n JOIN grp USING (id)),
+@query(f"""WITH RECURSIVE {_GROUPS}, note AS (SELECT s_acctbal::BIGINT // 500 AS note, s_suppkey AS id FROM supplier), gl AS (SELECT DISTINCT n.note, grp.g FROM note n JOIN grp USING (id)),
   ln AS (SELECT x.g AS a, y.g AS b FROM gl x JOIN gl y USING (note)), mg(g, v) AS (SELECT DISTINCT g, g FROM grp UNION SELECT m.g, ln.b FROM mg m JOIN ln ON ln.a = m.v),
   mr AS (SELECT g, min(v) AS root FROM mg GROUP BY g) SELECT grp.id, (dense_rank() OVER (ORDER BY mr.root) - 1)::BIGINT AS "group" FROM grp JOIN mr USING (g)""")
 def manual_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups tied by notes become one: the suppliers of some nations stand for notes."""
+    """Groups tied by notes become one: suppliers with like balances stand for notes."""
     members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("node"))
-    notes = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_nationkey").alias("note"), F.col("s_suppkey").alias("node"))
+    notes = table(spark, sf_dir, "supplier").select(F.expr("cast(round(s_acctbal) as bigint) div 500").alias("note"), F.col("s_suppkey").alias("node"))
     groups, _ = written(_groups(spark, sf_dir))
     return merge_groups_by_nodes(groups, members, notes)
 

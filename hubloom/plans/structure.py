@@ -310,13 +310,13 @@ def hub_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "grouped_hubs").select("hub_row", text.hub_name(F.nullif(F.col("district"), F.lit("Unknown")), F.col("address"), F.col("group_id")).alias("hub_name"))
 
 
-@query("""SELECT expert, criterion_a, criterion_b, value FROM (
-  SELECT comparison_id, expert, criterion_a, criterion_b, value FROM ahp_expert_comparisons e WHERE comparison_id % 2 = 0 AND expert IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ahp_expert_comparisons n WHERE n.comparison_id % 10 = 1 AND n.expert = e.expert)
-  UNION ALL SELECT comparison_id, expert, criterion_a, criterion_b, value FROM ahp_expert_comparisons WHERE comparison_id % 10 = 1 AND expert IS NOT NULL)""")
+@query("""SELECT expert, criterion_a, criterion_b, value FROM ahp_expert_comparisons e WHERE expert IS NOT NULL AND (judged_at >= TIMESTAMP '2025-06-01'
+  OR NOT EXISTS (SELECT 1 FROM ahp_expert_comparisons n WHERE n.judged_at >= TIMESTAMP '2025-06-01' AND n.expert = e.expert))""")
 def upsert_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Experts' rows are replaced by their newer ones: two batches split off the table stand for file and update."""
+    """Experts' earlier judgements are replaced by their later ones: those from June on stand for the update."""
     c = table(spark, sf_dir, "ahp_expert_comparisons").where("expert is not null")
-    return A.upsert(c.where("comparison_id % 2 = 0"), c.where("comparison_id % 10 = 1"), "expert").select("expert", "criterion_a", "criterion_b", "value")
+    later = F.coalesce(F.col("judged_at") >= "2025-06-01", F.lit(False))
+    return A.upsert(c.where(~later), c.where(later), "expert").select("expert", "criterion_a", "criterion_b", "value")
 
 
 @query("""SELECT 'totaldemand' AS field, count(*)::BIGINT AS n_rows, count(*) FILTER (totaldemand IS NULL OR isnan(totaldemand))::BIGINT AS missing, round(min(CASE WHEN NOT isnan(totaldemand) THEN totaldemand END), 4) AS least, round(max(CASE WHEN NOT isnan(totaldemand) THEN totaldemand END), 4) AS most,

@@ -75,3 +75,9 @@ def ordered_columns(df: DataFrame, first: Iterable[str], by: str | None = None)
     head = [c for c in first if c in df.columns]
     out = df.select(*(f"`{c}`" for c in head), *(f"`{c}`" for c in df.columns if c not in head))
     return out.orderBy(by) if by and by in df.columns else out
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Several tables side by side in one folder, in place of the sheets of a workbook."""
+    for name, df in tables.items():
+        (flat(df) if fmt == "csv" else df).write.mode(mode).option("header", True).format(fmt).save(f"{folder}/{name}")
