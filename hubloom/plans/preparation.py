@@ -73,5 +73,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_table, p2_found, p4_found)}
 
 
+#: Places (shapes of hubs have no holes here), pairs by brute force, and zones by the even-odd rule over all edges.
+P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geometry)), '^SRID=\d+;', '') AS g, h3_index FROM grouped_hubs WHERE group_id IS NOT NULL),
+  n AS (SELECT group_id, hub_row, g, h3_index, list_transform(regexp_extract_all(g, '-?\d+(?:\.\d+)?(?:E[+-]?\d+)?'), lambda x: x::DOUBLE) AS v FROM h),
+  ring AS (SELECT group_id, hub_row, generate_subscripts(rs, 1) AS k, list_transform(regexp_extract_all(unnest(rs), '-?\d+(?:\.\d+)?(?:E[+-]?\d+)?'), lambda x: x::DOUBLE) AS v
+    FROM (SELECT *, regexp_extract_all(g, '\(([^()]+)\)', 1) AS rs FROM n WHERE regexp_matches(g, '^(MULTI)?POLYGON'))),
+  edge AS (SELECT group_id, hub_row, k, v[1] AS ox, v[2] AS oy, v[i] - v[1] AS xa, v[i + 1] - v[2] AS ya, v[CASE WHEN i + 2 > len(v) THEN 1 ELSE i + 2 END] - v[1] AS xb, v[CASE WHEN i + 2 > len(v) THEN 2 ELSE i + 3 END] - v[2] AS yb
+    FROM (SELECT *, unnest(range(1, len(v), 2)) AS i FROM ring)),
+  part AS (SELECT group_id, hub_row, k, any_value(ox) AS ox, any_value(oy) AS oy, sum(xa * yb - xb * ya) / 2 AS a, sum((xa + xb) * (xa * yb - xb * ya)) / 6 AS mx, sum((ya + yb) * (xa * yb - xb * ya)) / 6 AS my FROM edge GROUP BY ALL),
+  shape AS (SELECT group_id, hub_row, sum(abs(a) * (ox + mx / a)) / sum(abs(a)) AS x, sum(abs(a) * (oy + my / a)) / sum(abs(a)) AS y FROM part WHERE a <> 0 GROUP BY ALL),
+  cand AS (SELECT group_id, hub_row, 0 AS rank, v[1] AS x, v[2] AS y FROM n WHERE starts_with(g, 'POINT') AND len(v) >= 2
+    UNION ALL SELECT group_id, hub_row, 1, x, y FROM shape
+    UNION ALL SELECT group_id, hub_row, 2, 66 * sqrt(3) * (q + r / 2.0), 99.0 * r FROM (SELECT group_id, hub_row, ('0x' || substr(c, 3, 5))::BIGINT - 524288 AS q, ('0x' || substr(c, 8, 5))::BIGINT - 524288 AS r FROM (SELECT *, regexp_extract(h3_index, '8a[0-9a-f]{10}fff') AS c FROM n) WHERE c <> '')),
+  best AS (SELECT group_id, arg_min(x, rank * 1000000000000 + hub_row) AS a, arg_min(y, rank * 1000000000000 + hub_row) AS b FROM cand WHERE x IS NOT NULL GROUP BY 1),
+  p AS (SELECT group_id, CASE WHEN a > 325000 AND b < 325000 THEN b ELSE a END AS x, CASE WHEN a > 325000 AND b < 325000 THEN a ELSE b END AS y FROM best),
+  rg AS (SELECT zone_id, list_transform(string_split(unnest(regexp_extract_all(geometry, '\(([^()]+)\)', 1)), ','), lambda t: [split_part(trim(t), ' ', 1)::DOUBLE, split_part(trim(t), ' ', 2)::DOUBLE]) AS pts FROM zones),
+  ed AS (SELECT zone_id, pts[i][1] AS xa, pts[i][2] AS ya, pts[i % len(pts) + 1][1] AS xb, pts[i % len(pts) + 1][2] AS yb FROM (SELECT *, unnest(range(1, len(pts) + 1)) AS i FROM rg))
+  SELECT 'hub' AS kind, a.group_id, b.group_id AS other_id FROM p a JOIN p b ON a.group_id < b.group_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 40000
+  UNION ALL SELECT 'zone', p.group_id, zone_id FROM p JOIN ed ON xa <> xb AND ((xa <= p.x AND p.x < xb) OR (xb <= p.x AND p.x < xa)) AND ya + (yb - ya) * (p.x - xa) / (xb - xa) <= p.y GROUP BY ALL HAVING count(*) % 2 = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
