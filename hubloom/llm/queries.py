@@ -94,5 +94,15 @@ def queries() -> dict:
     return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)}
 
 
+#: The transitive closure, by recursion.
+P5_SQL = r"""WITH RECURSIVE hn AS (SELECT DISTINCT group_id AS a, (unnest(regexp_extract_all(node, '(?:^|[^0-9A-Za-z_.])(\d+)', 1)))::BIGINT + 2305843009213693952 AS b FROM grouped_hubs WHERE group_id IS NOT NULL),
+  nn AS (SELECT row_id, (unnest(regexp_extract_all(nodes_in_group, '(?:^|[^0-9A-Za-z_.])(\d+)', 1)))::BIGINT + 2305843009213693952 AS v FROM is_same_group),
+  nt AS (SELECT DISTINCT x.first AS a, nn.v AS b FROM nn JOIN (SELECT row_id, min(v) AS first FROM nn GROUP BY 1) x USING (row_id) WHERE nn.v <> x.first),
+  e AS (SELECT a, b FROM hn UNION SELECT b, a FROM hn UNION SELECT a, b FROM nt UNION SELECT b, a FROM nt),
+  reach(id, v) AS (SELECT DISTINCT a, a FROM hn UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.v),
+  g AS (SELECT id, min(v) AS merged_id, count(*) FILTER (v < 2305843009213693952) AS n FROM reach GROUP BY id)
+  SELECT id AS group_id, merged_id FROM g WHERE n > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_SQL}
