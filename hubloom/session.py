@@ -48,10 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The cluster's spark.checkpoint.dir; where it is unset, on one machine (tests), a folder of this process.
+
+    On a cluster it must be set: a folder of one machine would be no use to the others.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="hubloom-")
@@ -74,6 +79,19 @@ def _quietly_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def drop_all_written() -> None:
+    """Drops every table written so far, once the results that read them are saved; at the latest this happens when the driver ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        _quietly_drop(spark, path)
+
+
+atexit.register(drop_all_written)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -84,7 +102,7 @@ def written_by(df: DataFrame, column: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hubloom-{uuid.uuid4().hex}"
     df.write.partitionBy(column).parquet(path)
-    atexit.register(_quietly_drop, spark, path)
+    _WRITTEN.append((spark, path))
     return path
 
 
@@ -97,5 +115,5 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hubloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_quietly_drop, spark, path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path

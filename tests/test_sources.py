@@ -122,3 +122,56 @@ def test_lookups(spark):
     assert {r.hub: r.demand for r in more.collect()} == {"h": 7.0 + 1.0 + 9.0, "g": 0.0}
     over = spark.createDataFrame([(1, 1, 10.0), (2, 2, 20.0), (1, 3, 30.0)], "node long, n int, v double")
     assert {r.hub: r.v for r in K.override_last_wins(nodes, over, "hub", "node", "n", "v").collect()} == {"h": 30.0, "g": None}
+
+
+def test_written_tables(spark, monkeypatch):
+    from hubloom import session as H
+
+    df, path = H.written(spark.range(5))
+    assert df.count() == 5 and H.exists(spark, path)
+    H.drop_written(spark, path)
+    assert not H.exists(spark, path)
+    at = H.written_by(spark.range(4).withColumn("k", F.col("id") % 2), "k")
+    assert H.exists(spark, f"{at}/k=0")
+    H.drop_all_written()
+    assert not H.exists(spark, at)
+    monkeypatch.setattr(H, "_OWN", {})
+    real = spark.sparkContext.master
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://x:7077")
+    with pytest.raises(RuntimeError):
+        H.shared_dir(spark)
+    monkeypatch.undo()
+    assert spark.sparkContext.master == real
+
+
+def test_sql_functions(spark):
+    from hubloom.functions import hexgrid as X
+    from hubloom.functions import udf
+
+    udf.register(spark)
+    df = spark.createDataFrame([(1234.5, -777.25), (0.0, 0.0), (98765.4, 43210.9)], "x double, y double")
+    q, r = X.axial(F.col("x"), F.col("y"))
+    assert df.where(F.expr("hex_cell(x, y)") != X.cell_id(q, r)).count() == 0
+    assert spark.sql("SELECT * FROM hex_ring(0L, 0L, 2)").count() == 19 and spark.sql("SELECT saaty(-3D)").first()[0] == 0.25
+    assert spark.sql("SELECT tier_of_demand(double('NaN')), hebrew_ratio('אב c')").first()[1] == pytest.approx(2 / 3)
+
+
+def test_runs_and_reports(spark):
+    from hubloom.operators import workflow as O
+    from hubloom.plans.simulation import example
+
+    df = spark.createDataFrame([(i, float(i), float(9 - i), 1.0 + i) for i in range(9)], "id int, a double, b double, c double")
+    t = O.report_tables(df, "id", "a", "b", 3)
+    assert [r.id for r in t["top_a"].collect()] == [8, 7, 6] and t["averages"].first().a == 4.0 and t["top_combined"].count() == 3
+    scored, told = O.ahp_run(df, example(spark), {"activity": "a", "service": "b", "unknown": "c"})
+    assert sum(told["weights"].values()) == pytest.approx(1) and told["weights"]["unknown"] == 0 and told["inconsistent"] == []
+    assert scored.where("ahp_rank = 1").first().id == 8
+    with pytest.raises(ValueError):
+        O.ahp_run(df, example(spark), {"none": "a"})
+    rows = {r.criterion: r.weight for r in O.expert_export(example(spark), "urban_economist").collect()}
+    assert rows["_expert"] == "urban_economist" and float(rows["_consistency_ratio"]) == pytest.approx(0.003845, abs=1e-5)
+    over = O.with_builtin_overrides(spark.createDataFrame([(400424, 1, 5.0, 6.0)], "node long, row_no long, demand double, transfers double"))
+    assert over.groupBy("node").agg(F.max_by("demand", "row_no").alias("d")).where("node = 400424").first().d == 64985.0
+    assert O.with_demand_columns(df).columns[-2:] == ["TotalDemand", "TotalTransfers"]
+    notes = spark.createDataFrame([(1, "5, 6"), (2, "7"), (3, None)], "id int, t string")
+    assert {tuple(r) for r in O.group_notes(notes, "t", "id").collect()} == {(1, 5), (1, 6)}
