@@ -124,7 +124,7 @@ def test_lookups(spark):
     assert {r.hub: r.v for r in K.override_last_wins(nodes, over, "hub", "node", "n", "v").collect()} == {"h": 30.0, "g": None}
 
 
-def test_written_tables(spark, monkeypatch):
+def test_written_tables(spark):
     from hubloom import session as H
 
     df, path = H.written(spark.range(5))
@@ -135,13 +135,21 @@ def test_written_tables(spark, monkeypatch):
     assert H.exists(spark, f"{at}/k=0")
     H.drop_all_written()
     assert not H.exists(spark, at)
-    monkeypatch.setattr(H, "_OWN", {})
-    real = spark.sparkContext.master
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://x:7077")
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as N
+
+    from hubloom import session as H
+
+    def fake(master, folder=None):
+        conf = N(get=lambda *_: folder)
+        return N(sparkContext=N(getConf=lambda: conf, master=master, applicationId="app"), conf=conf)
+
+    assert H.shared_dir(fake("spark://x:7077", "hdfs://y/z/")) == "hdfs://y/z"
     with pytest.raises(RuntimeError):
-        H.shared_dir(spark)
-    monkeypatch.undo()
-    assert spark.sparkContext.master == real
+        H.shared_dir(fake("spark://x:7077"))
+    assert H.shared_dir(fake("local[2]")).startswith("file:///")
 
 
 def test_sql_functions(spark):
