@@ -59,7 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="hubloom-")
+        at = tempfile.mkdtemp(prefix="hubloom-")
+        atexit.register(shutil.rmtree, at, True)
+        _OWN[app] = "file://" + at
     return _OWN[app]
 
 
@@ -75,8 +77,9 @@ def drop_written(spark: SparkSession, path: str) -> None:
 def _quietly_drop(spark: SparkSession, path: str) -> None:
     try:
         drop_written(spark, path)
-    except Exception:  # the session is gone already
-        pass
+    except Exception:  # the session is gone already: what lies on this machine can still go
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
