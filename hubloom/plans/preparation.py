@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions.geometry import cell_place, place
 from hubloom.functions.packed import explode_packed, packed_items, whole_number
-from hubloom.operators.drift import drift, ingest, replay
+from hubloom.operators.drift import DEMAND_FIELDS, drift, ingest, replay
 from hubloom.operators.near import pairs_within, regions_around, slabs
 from hubloom.session import table, written
 
@@ -73,6 +73,32 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_table, p2_found, p4_found)}
 
 
+_NAMES = " ".join(f"WHEN '{a}' THEN '{f.name}'" for f in DEMAND_FIELDS for a in f.aliases + f.parts)
+#: Keys by spelling, else by values; then each file against the one before it.
+P1_SQL = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PARTITION BY feed_id ORDER BY released, file_id) AS before FROM demand_files WHERE file_id IS NOT NULL AND feed_id IS NOT NULL AND released IS NOT NULL),
+  r AS (SELECT f.feed_id, f.file_id, d.record_id, e.key, e.type, e.value FROM demand_records d JOIN f USING (file_id), json_each(CASE WHEN json_valid(d.body) THEN d.body END) e),
+  n AS (SELECT feed_id, file_id, record_id, key, CASE regexp_replace(lower(key), '[\s_\-]+', '', 'g') @NAMES@ END AS role, regexp_replace(lower(key), '[\s_\-]+', '', 'g') IN ('transferboardings', 'transferalight') AS part,
+    CASE WHEN type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'whole' WHEN type = 'DOUBLE' THEN 'point' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type <> 'NULL' THEN 'nested' END AS kind,
+    TRY_CAST(replace(trim(json_extract_string(value, '$')), ',', '') AS DOUBLE) AS v FROM r),
+  own AS (SELECT DISTINCT feed_id, file_id, role FROM n WHERE role IS NOT NULL),
+  lacks AS (SELECT a.file_id, b.role FROM (SELECT DISTINCT feed_id, file_id FROM n) a JOIN (SELECT DISTINCT feed_id, role FROM own) b USING (feed_id) WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = a.file_id AND o.role = b.role)),
+  place AS (SELECT DISTINCT feed_id, v FROM n WHERE role = 'node' AND v IS NOT NULL),
+  onode AS (SELECT n.file_id, n.key, avg((p.v IS NOT NULL)::INT) AS share FROM n JOIN lacks l ON l.file_id = n.file_id AND l.role = 'node' LEFT JOIN place p ON p.feed_id = n.feed_id AND p.v = n.v WHERE n.role IS NULL AND n.v IS NOT NULL GROUP BY ALL HAVING share >= 0.6),
+  bnode AS (SELECT file_id, arg_max(key, share) AS key FROM onode GROUP BY 1),
+  spot AS (SELECT n.feed_id, n.record_id, n.v AS node FROM n WHERE role = 'node' AND v IS NOT NULL UNION SELECT n.feed_id, n.record_id, n.v FROM n JOIN bnode USING (file_id, key) WHERE n.v IS NOT NULL),
+  usual AS (SELECT feed_id, node, role, median(v) AS u FROM (SELECT feed_id, record_id, role, sum(v) AS v FROM n WHERE role <> 'node' AND v IS NOT NULL GROUP BY ALL) JOIN spot USING (feed_id, record_id) GROUP BY ALL),
+  fit AS (SELECT n.file_id, n.key, usual.role, avg((abs(n.v - u) <= 0.15 * abs(u))::INT) AS share FROM n JOIN lacks l USING (file_id) JOIN spot USING (feed_id, record_id) JOIN usual ON usual.feed_id = n.feed_id AND usual.node = spot.node AND usual.role = l.role
+    WHERE n.role IS NULL AND n.v IS NOT NULL GROUP BY ALL HAVING share >= 0.6),
+  found AS (SELECT file_id, key, arg_max(role, share) AS role FROM fit GROUP BY ALL UNION ALL SELECT file_id, key, 'node' FROM bnode),
+  c AS (SELECT n.file_id, coalesce(n.role, o.role, lower(n.key)) AS field, n.key, n.part, n.kind FROM n LEFT JOIN found o USING (file_id, key)),
+  k AS (SELECT file_id, field, kind, count(*) AS m FROM c WHERE kind IS NOT NULL GROUP BY ALL),
+  most AS (SELECT file_id, field, arg_max(kind, m) AS kind FROM k GROUP BY ALL),
+  pf AS (SELECT c.file_id, c.field, array_to_string(list_sort(list(DISTINCT key)), '|') AS keys, bool_or(part) AS part, any_value(most.kind) AS kind FROM c LEFT JOIN most USING (file_id, field) GROUP BY ALL),
+  now AS (SELECT f.file_id, pf.field, keys, part, kind FROM f JOIN pf USING (file_id) WHERE before IS NOT NULL), old AS (SELECT f.file_id, pf.field, keys, part, kind FROM f JOIN pf ON pf.file_id = f.before),
+  j AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field, old.field) AS field, now.keys AS nk, old.keys AS ok, now.part AS np, old.part AS op, now.kind AS nt, old.kind AS ot FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field = old.field)
+  SELECT file_id, field, unnest(list_filter([CASE WHEN ok IS NULL THEN 'added' END, CASE WHEN nk IS NULL THEN 'removed' END, CASE WHEN np AND NOT op THEN 'split' END, CASE WHEN op AND NOT np THEN 'merged' END,
+    CASE WHEN np = op AND nk <> ok THEN 'renamed' END, CASE WHEN np = op AND nt <> ot THEN 'retyped' END], lambda x: x IS NOT NULL)) AS change_kind FROM j""".replace("@NAMES@", _NAMES)
+
 #: Places (shapes of hubs have no holes here), pairs by brute force, and zones by the even-odd rule over all edges.
 P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geometry)), '^SRID=\d+;', '') AS g, h3_index FROM grouped_hubs WHERE group_id IS NOT NULL),
   n AS (SELECT group_id, hub_row, g, h3_index, list_transform(regexp_extract_all(g, '-?\d+(?:\.\d+)?(?:E[+-]?\d+)?'), lambda x: x::DOUBLE) AS v FROM h),
@@ -94,4 +120,4 @@ P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geom
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
