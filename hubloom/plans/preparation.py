@@ -99,6 +99,18 @@ P1_SQL = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PA
   SELECT file_id, field, unnest(list_filter([CASE WHEN ok IS NULL THEN 'added' END, CASE WHEN nk IS NULL THEN 'removed' END, CASE WHEN np AND NOT op THEN 'split' END, CASE WHEN op AND NOT np THEN 'merged' END,
     CASE WHEN np = op AND nk <> ok THEN 'renamed' END, CASE WHEN np = op AND nt <> ot THEN 'retyped' END], lambda x: x IS NOT NULL)) AS change_kind FROM j""".replace("@NAMES@", _NAMES)
 
+#: The texts read from left to right by one pattern: a quoted span, or what lies between delimiters.
+P2_SQL = r"""WITH t AS (SELECT hub_row, 'line_unique' AS field, line_unique AS s FROM grouped_hubs UNION ALL
+    SELECT hub_row, 'mode_planned', replace(replace(replace(replace(replace(mode_planned, 'HighSpeed Rail', 'HighSpeed~Rail'), 'Interurban Rail', 'Interurban~Rail'), 'Suburban Rail', 'Suburban~Rail'), 'Express Bus', 'Express~Bus'), 'Cable Line', 'Cable~Line') FROM grouped_hubs),
+  c AS (SELECT hub_row, field, regexp_replace(regexp_replace(s, '["'']\s*\[', '[', 'g'), '\]\s*["'']', ']', 'g') AS s FROM t),
+  k AS (SELECT hub_row, field, regexp_extract_all(s, '''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.|"")*"|(?:nan|None)\b|[^\s,;|/\[\]{}''"][^,;|/\[\]{}\t\r\n]*') AS raw FROM c),
+  w AS (SELECT hub_row, field, list_transform(raw, lambda x: CASE
+      WHEN x[1] = '"' THEN [regexp_replace(replace(x[2:-2], '""', '"'), '\\(.)', '\1', 'g')] WHEN x[1] = '''' THEN [regexp_replace(x[2:-2], '\\(.)', '\1', 'g')]
+      WHEN field = 'mode_planned' OR len(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda y: NOT (regexp_matches(y, '[0-9]') AND regexp_matches(y, '\p{L}')))) = 0 THEN regexp_split_to_array(trim(x), '\s+') ELSE [x] END) AS parts FROM k),
+  i AS (SELECT hub_row, field, list_filter(list_transform(flatten(parts), lambda x: trim(replace(x, '~', ' '))), lambda x: lower(x) NOT IN ('', 'nan', 'none')) AS items FROM w
+    UNION ALL SELECT hub_row, 'node', list_transform(regexp_extract_all(node, '(?:^|[^0-9A-Za-z_.])(\d+)', 1), lambda x: x::BIGINT::VARCHAR) FROM grouped_hubs)
+  SELECT hub_row, field, generate_subscripts(items, 1)::BIGINT AS pos, unnest(items) AS item FROM i"""
+
 #: Places (shapes of hubs have no holes here), pairs by brute force, and zones by the even-odd rule over all edges.
 P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geometry)), '^SRID=\d+;', '') AS g, h3_index FROM grouped_hubs WHERE group_id IS NOT NULL),
   n AS (SELECT group_id, hub_row, g, h3_index, list_transform(regexp_extract_all(g, '-?\d+(?:\.\d+)?(?:E[+-]?\d+)?'), lambda x: x::DOUBLE) AS v FROM h),
@@ -120,4 +132,4 @@ P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geom
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
