@@ -105,4 +105,5 @@ P5_SQL = r"""WITH RECURSIVE hn AS (SELECT DISTINCT group_id AS a, (unnest(regexp
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    alone = P5_SQL.replace("WHERE n > 1", "UNION SELECT group_id, group_id FROM grouped_hubs WHERE group_id IS NOT NULL AND group_id NOT IN (SELECT id FROM reach)")
+    return {"p5_found": P5_SQL, "p5_groups": alone}
