@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions import rules
 from hubloom.functions import settings as S
+from hubloom.session import written
 
 
 def with_range(df: DataFrame, value: Column, by: str | None, prefix: str) -> DataFrame:
@@ -123,8 +124,9 @@ def global_rank(df: DataFrame, by: str, name: str = "rank", digits: int = 2) ->
 
     Values are counted first, then the counts by range of values (rounded to `digits`):
     a window runs over the ranges' totals, another within each range. Null has no rank.
+    df is read twice: write it first if it is dear.
     """
-    counts = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(by) * 10**digits))
+    counts, _ = written(df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(by) * 10**digits)))
     totals = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
     before = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     above = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_above"))

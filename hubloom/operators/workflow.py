@@ -12,6 +12,7 @@ from hubloom.functions.text import node_numbers
 from hubloom.operators import ahp as H
 from hubloom.operators import montecarlo as M
 from hubloom.operators import score as C
+from hubloom.session import written
 
 
 def ahp_run(df: DataFrame, comparisons: DataFrame, scores: Mapping[str, str], method: str = "eigenvector", how: str = "geometric_mean") -> tuple[DataFrame, dict[str, object]]:
@@ -29,7 +30,7 @@ def ahp_run(df: DataFrame, comparisons: DataFrame, scores: Mapping[str, str], me
     weights = {c: found.get(c, 0.0) / total for c in scores}
     ratios = {r["expert"]: r["cr"] for r in H.consistency(m, per_expert).collect()}
     scored = df.withColumn("ahp_score", C.weighted(scores.values(), weights.values()))
-    out = C.global_rank(scored, "ahp_score", "ahp_rank")
+    out = C.global_rank(written(scored)[0], "ahp_score", "ahp_rank")
     return out, {"weights": weights, "consistency": ratios, "inconsistent": sorted(e for e, r in ratios.items() if r > S.CONSISTENT)}
 
 

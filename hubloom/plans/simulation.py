@@ -75,7 +75,7 @@ def mc_rank_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_STATS} SELECT hub, round(p10, 4) AS p10, rank() OVER (ORDER BY round(p10, 4) DESC)::BIGINT AS conservative_rank FROM st")
 def mc_conservative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stats(spark, sf_dir).select("hub", F.round("p10", 4).alias("p10"))
+    s, _ = written(_stats(spark, sf_dir).select("hub", F.round("p10", 4).alias("p10")))
     return M.conservative_rank(s, 10).select("hub", "p10", "conservative_rank")
 
 
@@ -87,7 +87,7 @@ def mc_robust_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_STATS}, o AS (SELECT hub, round(mean, 4) AS mean, rank() OVER (ORDER BY round(mean, 4) DESC)::BIGINT AS overall_rank_by_mean FROM st) SELECT * FROM o WHERE overall_rank_by_mean <= 20")
 def mc_compare_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks over all hubs, shown for those that lead."""
-    s = _stats(spark, sf_dir).select("hub", F.round("mean", 4).alias("mean"))
+    s, _ = written(_stats(spark, sf_dir).select("hub", F.round("mean", 4).alias("mean")))
     return C.global_rank(s, "mean", "overall_rank_by_mean").where("overall_rank_by_mean <= 20").select("hub", "mean", "overall_rank_by_mean")
 
 
