@@ -305,10 +305,15 @@ def replay(table: DataFrame, approved: dict[str, tuple[str, str]]) -> DataFrame:
     return df.withColumn("rescued", F.when(F.col("_m").isNull(), F.col("rescued")).otherwise(kept)).drop("_m")
 
 
+def bound_columns(records: DataFrame, files: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS) -> DataFrame:
+    """The columns of all files with the fields they are bound to. The entries are parsed once and written, as several steps read them."""
+    long, _ = written(entries(records, files))
+    return bind_fields(long, fields)
+
+
 def drift(
     records: DataFrame, files: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS
 ) -> tuple[DataFrame, DataFrame]:
-    """The bound columns and the changes. The entries are parsed once and written, as several steps read them."""
-    long, _ = written(entries(records, files))
-    bound = bind_fields(long, fields)
+    """The bound columns and the changes."""
+    bound = bound_columns(records, files, fields)
     return bound, schema_changes(bound, files, fields)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions.geometry import cell_place, place
 from hubloom.functions.packed import explode_packed, packed_items, whole_number
-from hubloom.operators.drift import DEMAND_FIELDS, drift, ingest, replay
+from hubloom.operators.drift import DEMAND_FIELDS, bound_columns, drift, ingest, replay
 from hubloom.operators.near import pairs_within, regions_around, slabs
 from hubloom.session import table, written
 
@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All demand records with the same columns and types; old node numbers are replayed from the rescue column."""
     records = table(spark, sf_dir, "demand_records")
-    bound, _ = drift(records, table(spark, sf_dir, "demand_files"))
+    bound = bound_columns(records, table(spark, sf_dir, "demand_files"))
     # read by its own rows once they are bound: the plan of a file is a few keys
     return replay(ingest(records, written(bound)[0]), {"OldNode": ("old_node", "bigint"), "Zone": ("zone", "bigint")})
 
