@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from hubloom.llm.tokens import VOCABULARY, with_tokens
 
-CAPACITY, MAX_DOCS = 2048, 256
+#: A document has a token at least: this many documents limit only texts of no tokens. Lower it where it shall bind.
+CAPACITY, MAX_DOCS = 2048, 2048
 SHARD = 20_000
 MOST_TASKS = 10_000
 WEIGHTS = (1.0, 0.05, 0.05)
