@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubloom.operators.numbering import number_in_order
 from hubloom.session import drop_written, written
 
 #: Up to so many items the walk, at most their square of rows, runs in one task; beyond, over the cluster.
@@ -118,7 +119,7 @@ def rank_items(
         "i", (F.col("strength") / F.col("total")).alias("strength"), F.coalesce("n_votes", F.lit(0)).alias("n_votes"), F.coalesce("n_opponents", F.lit(0)).alias("n_opponents"),
     ))
     drop_written(spark, graph_at)  # the strengths are written
-    return global_rank(ranked, "strength", "i").select(F.col("i").alias(item), "strength", "rank", "n_votes", "n_opponents")
+    return number_in_order(ranked, F.desc("strength"), "i", name="rank").select(F.col("i").alias(item), "strength", "rank", "n_votes", "n_opponents")
 
 
 def _walk_on_cluster(graph: DataFrame, tolerance: float, steps: int) -> DataFrame:
@@ -140,21 +141,3 @@ def _walk_on_cluster(graph: DataFrame, tolerance: float, steps: int) -> DataFram
         if moved < tolerance:
             break
     return p.where("i <> ''").select(F.col("i").substr(F.lit(2), F.length("i")).alias("i"), (F.col("p") / F.col("out")).alias("strength"))
-
-
-def global_rank(df: DataFrame, by: str, tie: str) -> DataFrame:
-    """df with rank 1.. by falling `by`, ties by name: sorted over the cluster, numbered by partition counts.
-
-    No window without a partition: only the counts of the sorted partitions are gathered.
-    """
-    ordered, _ = written(df.orderBy(F.desc(by), tie).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    counts = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, 0
-    for part in sorted(counts):
-        starts[part] = at
-        at += counts[part]
-    if not starts:
-        return ordered.withColumn("rank", F.lit(None).cast("bigint")).drop("_part", "_row")
-    table = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
-    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn("rank", (table[F.col("_part")] + within + 1).cast("bigint")).drop("_part", "_row")
