@@ -106,6 +106,12 @@ def place(geometry: Column) -> Column:
     )
 
 
+def surveyed_place(x: Column, y: Column, geometry: Column) -> Column:
+    """struct(x, y) of a survey: its own x and y where both are filled, else the place of its geometry text; null without either."""
+    own = x.isNotNull() & y.isNotNull()
+    return F.coalesce(F.when(own, F.struct(x.alias("x"), y.alias("y"))), place(F.when(~own, geometry)).dropFields("rank"))
+
+
 def cell_place(cells: Column) -> Column:
     """struct(x, y, rank 2): the centre of the first cell of a text; null if it holds none."""
     cell = r"(?i)8a([0-9a-f]{5})([0-9a-f]{5})fff"

@@ -14,6 +14,7 @@ from hubloom.plans.analog import HUB, hubs, values
 from hubloom.plans.registry import Registry
 from hubloom.plans.scoring import mm
 from hubloom.plans.simulation import example
+from hubloom.plans.spatial import located
 from hubloom.session import table
 
 query = Registry()
@@ -131,8 +132,8 @@ def expert_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def places_in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surveyed places in degrees of their own datum."""
-    t = table(spark, sf_dir, "transit_nodes").where("x is not null and y is not null")
+    """Surveyed places in degrees of their own datum, also those that have only a geometry text."""
+    t = located(spark, sf_dir)
     lon, lat = projection.to_degrees(F.col("x"), F.col("y"))
     return t.select("row_id", lon.alias("lon"), lat.alias("lat"))
 
