@@ -7,9 +7,10 @@ by id for everything else.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,6 +107,63 @@ def distributions(ranked: DataFrame, id: str) -> DataFrame:
     return out.withColumn("iqr", F.col("p75") - F.col("p25")).drop("_s")
 
 
+def _scores(columns: Sequence[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Summed in the order of `dot`, so that equal scores stay equal."""
+    total = columns[0] * w[0]
+    for c, x in zip(columns[1:], w[1:]):
+        total = total + c * x
+    return total
+
+
+def simulated_distributions(df: DataFrame, id: str, scores: Sequence[str], w: np.ndarray, rows: int = 256) -> DataFrame:
+    """The same as `distributions` of all draws but the ranks: each id's draws are made and summed up where its row is, without a shuffle."""
+    names = {x: "median" if x == 0.5 else f"p{round(100 * x):02d}" for x in QUANTILES}
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                s = np.sort(_scores([part[c].to_numpy(dtype=float)[:, None] for c in scores], w.T), axis=1)
+                out = {id: part[id], "mean": s.mean(axis=1), "std": s.std(axis=1, ddof=1) if len(w) > 1 else np.nan, "min": s[:, 0], "max": s[:, -1]}
+                for x, n in names.items():
+                    k = (len(w) - 1) * x
+                    low, high = s[:, int(np.floor(k))], s[:, int(np.ceil(k))]
+                    out[n] = low + (high - low) * (k - np.floor(k))
+                yield pd.DataFrame(out)
+
+    stats = ("mean", "std", "min", "max", *names.values())
+    kind = df.schema[id].dataType.simpleString()
+    out = df.select(id, *scores).mapInPandas(one, f"{id} {kind}, " + ", ".join(f"{n} double" for n in stats))
+    out = out.select(id, *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in stats))
+    return out.withColumn("iqr", F.col("p75") - F.col("p25"))
+
+
+def simulated_ranks(df: DataFrame, id: str, scores: Sequence[str], w: np.ndarray, blocks: int = 48) -> DataFrame:
+    """id, mean_rank, p_top1, p_top3, p_top5 over all draws, ranked as in `with_ranks`.
+
+    Draws are dealt to blocks; a block's task holds the scores of all ids, 8 bytes each, and
+    gives sums by id, so no row of a single draw is ever shuffled.
+    """
+    blocks = min(blocks, len(w))
+    kind = df.schema[id].dataType.simpleString()
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(id, kind="stable")
+        columns = [group[c].to_numpy(dtype=float) for c in scores]
+        place = np.arange(1, len(group) + 1)
+        total, top = np.zeros(len(group), dtype=np.int64), np.zeros((3, len(group)), dtype=np.int64)
+        for draw in w[int(group["_block"].iloc[0]) :: blocks]:
+            order = np.argsort(-_scores(columns, draw), kind="stable")
+            total[order] += place
+            for k, n in enumerate((1, 3, 5)):
+                top[k][order[:n]] += 1
+        return pd.DataFrame({id: group[id], "r": total, "t1": top[0], "t3": top[1], "t5": top[2]})
+
+    each = df.select(id, *scores, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(blocks, "_block")
+    sums = each.groupBy("_block").applyInPandas(one, f"{id} {kind}, r bigint, t1 bigint, t3 bigint, t5 bigint")
+    return sums.groupBy(id).agg((F.sum("r") / len(w)).alias("mean_rank"), *((F.sum(f"t{k}") / len(w)).alias(f"p_top{k}") for k in (1, 3, 5)))
+
+
 def _quantile(ordered: Column, x: float) -> Column:
     """Linear interpolation between the ordered values; one id has as many as there are iterations."""
     at = (F.size(ordered) - 1) * F.lit(x)

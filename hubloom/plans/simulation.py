@@ -17,6 +17,7 @@ from hubloom.session import ship, table, written
 
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
+#: Of the queries with SQL; those named _full and mc_raw_export take all S.MC_ITERATIONS.
 DRAWS = 100
 N = len(C.CRITERIA)
 
@@ -96,7 +97,10 @@ _UNW = " UNION ALL ".join(f"SELECT '{c}' AS criterion, w{j} AS x FROM w" for j,
 
 @query(f"WITH {_WEIGHTS} SELECT criterion, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(min(x), 6) AS least, round(max(x), 6) AS most FROM ({_UNW}) GROUP BY criterion")
 def mc_weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = M.sequence_weights(spark, N, DRAWS)
+    return _weight_stats(M.sequence_weights(spark, N, DRAWS))
+
+
+def _weight_stats(w: DataFrame) -> DataFrame:
     long = w.select(F.inline(F.array(*(F.struct(F.lit(c).alias("criterion"), F.col(f"w{j}").alias("x")) for j, c in enumerate(C.CRITERIA)))))
     return long.groupBy("criterion").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.5), 6).alias("median"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"))
 
@@ -114,6 +118,70 @@ def mc_leaders_by_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).where("rank <= 50").select("hub", "iteration", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+# The same with the draws of production: every one of MC_ITERATIONS, of scores that aren't rounded. SQL can't repeat the draws.
+
+
+def _drawn():
+    return M.draw_weights(N)
+
+
+def _full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return M.simulated_distributions(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _drawn())
+
+
+def _full_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return M.simulated_ranks(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _drawn())
+
+
+@query()
+def final_score_mc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.mean_score(C.criteria(hubs(spark, sf_dir)), C.CRITERIA, _drawn()).select("hub", F.round("final_score", 4).alias("final_score"))
+
+
+@query()
+def mc_distribution_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _full_stats(spark, sf_dir)
+    return s.select("hub", *_round(s, *_A, "iqr"))
+
+
+@query()
+def mc_rank_robustness_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _full_ranks(spark, sf_dir)
+    return s.select("hub", *_round(s, "mean_rank", "p_top1", "p_top3", "p_top5"))
+
+
+@query()
+def mc_conservative_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = written(_full_stats(spark, sf_dir).select("hub", F.round("p10", 4).alias("p10")))
+    return M.conservative_rank(s, 10).select("hub", "p10", "conservative_rank")
+
+
+@query()
+def mc_robust_winners_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.robust_winners(_full_ranks(spark, sf_dir), 3, 0.05).select("hub", F.round("p_top3", 4).alias("p_top3"))
+
+
+@query()
+def mc_compare_hubs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of all hubs."""
+    s, _ = written(_full_stats(spark, sf_dir).select("hub", F.round("mean", 4).alias("mean")))
+    return C.global_rank(s, "mean", "overall_rank_by_mean").select("hub", "mean", "overall_rank_by_mean")
+
+
+@query()
+def mc_weight_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weight_stats(M.weights_table(spark, _drawn()))
+
+
+@query()
+def mc_raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows: every hub in every draw."""
+    sim = M.simulate(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, M.weights_table(spark, _drawn()))
+    return sim.select("hub", "iteration", F.round("score", 6).alias("score"))
+
+
 # expert judgements ------------------------------------------------------------------------------------
 
 _LONG = """WITH good AS (SELECT expert, criterion_a AS a, criterion_b AS b, value AS v, comparison_id AS o FROM ahp_expert_comparisons
