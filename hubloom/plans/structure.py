@@ -287,10 +287,17 @@ def hebrew_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT hub_row, CASE metro_position WHEN 'גלעי' THEN 'גלעין' WHEN 'טבעת פנימי' THEN 'טבעת פנימית' WHEN 'צפו' THEN 'צפון' WHEN 'תל אבי' THEN 'תל אביב' ELSE metro_position END AS fixed
   FROM grouped_hubs WHERE metro_position IN ('גלעי', 'גלעין', 'טבעת פנימי', 'טבעת פנימית', 'צפו', 'צפון', 'תל אבי', 'תל אביב')""")
 def fix_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only rows that are one of eight whole values, which a CASE can repeat; fix_truncation_full has all rows."""
     known = ("גלעי", "גלעין", "טבעת פנימי", "טבעת פנימית", "צפו", "צפון", "תל אבי", "תל אביב")
     return table(spark, sf_dir, "grouped_hubs").where(F.col("metro_position").isin(*known)).select("hub_row", text.fix_truncated(F.col("metro_position")).alias("fixed"))
 
 
+@query()
+def fix_truncation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row, lists and other texts word by word."""
+    return table(spark, sf_dir, "grouped_hubs").select("hub_row", text.fix_truncated(F.col("metro_position")).alias("fixed"))
+
+
 @query("""SELECT hub_row, round(CASE WHEN NOT isnan(totaldemand) AND totaldemand > 0 THEN coalesce(CASE WHEN isnan(totaltransfers) THEN 0 ELSE totaltransfers END, 0) / totaldemand ELSE 0 END, 4)::DOUBLE AS transfer_rate,
   CASE WHEN metro_position LIKE '%גלעין%' OR metro_position LIKE '%Core%' THEN 3 WHEN metro_position LIKE '%טבעת%' OR metro_position LIKE '%Ring%' THEN 2 ELSE 1 END::BIGINT AS location_category,
   CASE WHEN area LIKE '%Tel Aviv%' OR area LIKE '%Center%' OR area LIKE '%תל אביב%' OR area LIKE '%תל-אביב%' OR area LIKE '%מרכז%' THEN 0 ELSE 1 END::BIGINT AS region_category,
