@@ -58,8 +58,11 @@ def power_weights(matrix: np.ndarray, steps: int = 500, tolerance: float = 1e-14
         done = np.abs(after - w).sum() < tolerance
         w = after
         if done:
-            break
-    return w
+            return w
+    # sparse matrices of many criteria converge slowly
+    values, vectors = np.linalg.eig(matrix)
+    first = np.abs(vectors[:, np.argmax(values.real)].real)
+    return first / first.sum()
 
 
 def eigen_weights(m: DataFrame) -> DataFrame:

@@ -260,6 +260,12 @@ def ahp_eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.priorities(H.matrices(example(spark))).select("expert", "criterion", F.round("weight", 4).alias("weight"))
 
 
+@query()
+def ahp_eigen_weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eigenvector of every expert of the table; ahp_eigen_weights is the example only."""
+    return H.priorities(_m(spark, sf_dir)).select("expert", "criterion", F.round("weight", 6).alias("weight"))
+
+
 _EW = {c: round(sum(EXPECTED[e][k] for e in EXPECTED) / 3, 6) for k, c in enumerate(C.CRITERIA)}
 _AHP_DOT = " + ".join(f"{c} * {w}::DOUBLE" for c, w in _EW.items())
 BOTH = f"{ROUNDED}, b AS (SELECT hub, round({_AHP_DOT}, 4) AS ahp, round((activity_score + service_score + location_score + pop_jobs_score + terminal_score) * 0.2, 4) AS mc FROM rs)"
