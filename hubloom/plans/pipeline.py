@@ -15,7 +15,7 @@ from hubloom.operators import aggregate as A
 from hubloom.operators import montecarlo as M
 from hubloom.operators import score as C
 from hubloom.operators import spatial as P
-from hubloom.operators.drift import bound_columns, ingest
+from hubloom.operators.drift import ingest
 from hubloom.operators.grouping import numbered_groups
 from hubloom.operators.near import slabs
 from hubloom.plans.registry import Registry
@@ -58,9 +58,9 @@ class HubPipeline:
     def demand(self) -> DataFrame:
         """node, demand, transfers: the sum over all models of each feed's last file."""
         records, files = table(self.spark, self.sf_dir, "demand_records"), table(self.spark, self.sf_dir, "demand_files")
-        bound = bound_columns(records, files)
+        typed, _ = ingest(records, files)
         last = files.where("released is not null").groupBy("feed_id").agg(F.max_by("file_id", "released").alias("file_id")).select("file_id")
-        rows = ingest(records, written(bound)[0]).join(last, "file_id").where("node is not null").dropDuplicates(["file_id", "line_no", "node"])
+        rows = typed.join(last, "file_id").where("node is not null").dropDuplicates(["file_id", "line_no", "node"])
         got = F.coalesce("boardings_daily", F.lit(0.0)) + F.coalesce("alightings_daily", F.lit(0.0))
         return rows.groupBy("node").agg(F.sum(got).alias("demand"), F.sum(F.coalesce("totaltransfers", F.lit(0.0))).alias("transfers"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions.geometry import cell_place, place
 from hubloom.functions.packed import explode_packed, packed_items, whole_number
-from hubloom.operators.drift import DEMAND_FIELDS, bound_columns, drift, ingest, replay
+from hubloom.operators.drift import DEMAND_FIELDS, drift, ingest, replay
 from hubloom.operators.near import pairs_within, regions_around, slabs
 from hubloom.session import table, written
 
@@ -23,10 +23,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All demand records with the same columns and types; old node numbers are replayed from the rescue column."""
-    records = table(spark, sf_dir, "demand_records")
-    bound = bound_columns(records, table(spark, sf_dir, "demand_files"))
-    # read by its own rows once they are bound: the plan of a file is a few keys
-    return replay(ingest(records, written(bound)[0]), {"OldNode": ("old_node", "bigint"), "Zone": ("zone", "bigint")})
+    typed, _ = ingest(table(spark, sf_dir, "demand_records"), table(spark, sf_dir, "demand_files"))
+    return replay(typed, {"OldNode": ("old_node", "bigint"), "Zone": ("zone", "bigint")}).drop("origin")
+
+
+def p1_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed columns of `p1_table` with the number of keys that stayed in the rescue column: together every key of a record."""
+    t = p1_table(spark, sf_dir)
+    left = F.coalesce(F.size(F.map_keys(F.from_json("rescued", "map<string,variant>"))), F.lit(0)).cast("bigint")
+    return t.select("record_id", "node", *(F.round(c, 4).alias(c) for c in ("boardings_daily", "alightings_daily", "totaltransfers")), "old_node", "zone", left.alias("n_rescued"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +75,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_table, p2_found, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_table, p1_typed, p2_found, p4_found)}
 
 
 _NAMES = " ".join(f"WHEN '{a}' THEN '{f.name}'" for f in DEMAND_FIELDS for a in f.aliases + f.parts)
-#: Keys by spelling, else by values; then each file against the one before it.
-P1_SQL = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PARTITION BY feed_id ORDER BY released, file_id) AS before FROM demand_files WHERE file_id IS NOT NULL AND feed_id IS NOT NULL AND released IS NOT NULL),
+_ORDER = " ".join(f"WHEN '{a}' THEN {k}" for f in DEMAND_FIELDS for k, a in enumerate(f.aliases))
+#: Keys by spelling, else by values, else by spellings that values approved elsewhere.
+_BOUND = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PARTITION BY feed_id ORDER BY released, file_id) AS before FROM demand_files WHERE file_id IS NOT NULL AND feed_id IS NOT NULL AND released IS NOT NULL),
   r AS (SELECT f.feed_id, f.file_id, d.record_id, e.key, e.type, e.value FROM demand_records d JOIN f USING (file_id), json_each(CASE WHEN json_valid(d.body) THEN d.body END) e),
   n AS (SELECT feed_id, file_id, record_id, key, CASE regexp_replace(lower(key), '[\s_\-]+', '', 'g') @NAMES@ END AS role, regexp_replace(lower(key), '[\s_\-]+', '', 'g') IN ('transferboardings', 'transferalight') AS part,
     CASE WHEN type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'whole' WHEN type = 'DOUBLE' THEN 'point' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type <> 'NULL' THEN 'nested' END AS kind,
@@ -89,7 +95,12 @@ P1_SQL = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PA
   usual AS (SELECT feed_id, node, role, median(v) AS u FROM (SELECT feed_id, record_id, role, sum(v) AS v FROM n WHERE role <> 'node' AND v IS NOT NULL GROUP BY ALL) JOIN spot USING (feed_id, record_id) GROUP BY ALL),
   fit AS (SELECT n.file_id, n.key, usual.role, avg((abs(n.v - u) <= 0.15 * abs(u))::INT) AS share FROM n JOIN lacks l USING (file_id) JOIN spot USING (feed_id, record_id) JOIN usual ON usual.feed_id = n.feed_id AND usual.node = spot.node AND usual.role = l.role
     WHERE n.role IS NULL AND n.v IS NOT NULL GROUP BY ALL HAVING share >= 0.6),
-  found AS (SELECT file_id, key, arg_max(role, share) AS role FROM fit GROUP BY ALL UNION ALL SELECT file_id, key, 'node' FROM bnode),
+  told AS (SELECT file_id, key, arg_max(role, share) AS role FROM fit GROUP BY ALL UNION ALL SELECT file_id, key, 'node' FROM bnode),
+  agreed AS (SELECT regexp_replace(lower(key), '[\s_\-]+', '', 'g') AS plain, min(role) AS role FROM told JOIN f USING (file_id) GROUP BY 1 HAVING min(role) = max(role) AND count(DISTINCT feed_id) >= 2),
+  found AS (SELECT * FROM told UNION ALL SELECT file_id, min(key), agreed.role FROM n JOIN agreed ON agreed.plain = regexp_replace(lower(key), '[\s_\-]+', '', 'g')
+    WHERE n.role IS NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.feed_id = n.feed_id AND own.role = agreed.role) AND NOT EXISTS (SELECT 1 FROM told WHERE told.file_id = n.file_id AND told.key = n.key) GROUP BY file_id, agreed.role)""".replace("@NAMES@", _NAMES)
+#: Each file against the one before it.
+P1_SQL = _BOUND + r""",
   c AS (SELECT n.file_id, coalesce(n.role, o.role, lower(n.key)) AS field, n.key, n.part, n.kind FROM n LEFT JOIN found o USING (file_id, key)),
   k AS (SELECT file_id, field, kind, count(*) AS m FROM c WHERE kind IS NOT NULL GROUP BY ALL),
   most AS (SELECT file_id, field, arg_max(kind, m) AS kind FROM k GROUP BY ALL),
@@ -97,7 +108,20 @@ P1_SQL = r"""WITH f AS (SELECT file_id, feed_id, released, lag(file_id) OVER (PA
   now AS (SELECT f.file_id, pf.field, keys, part, kind FROM f JOIN pf USING (file_id) WHERE before IS NOT NULL), old AS (SELECT f.file_id, pf.field, keys, part, kind FROM f JOIN pf ON pf.file_id = f.before),
   j AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field, old.field) AS field, now.keys AS nk, old.keys AS ok, now.part AS np, old.part AS op, now.kind AS nt, old.kind AS ot FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field = old.field)
   SELECT file_id, field, unnest(list_filter([CASE WHEN ok IS NULL THEN 'added' END, CASE WHEN nk IS NULL THEN 'removed' END, CASE WHEN np AND NOT op THEN 'split' END, CASE WHEN op AND NOT np THEN 'merged' END,
-    CASE WHEN np = op AND nk <> ok THEN 'renamed' END, CASE WHEN np = op AND nt <> ot THEN 'retyped' END], lambda x: x IS NOT NULL)) AS change_kind FROM j""".replace("@NAMES@", _NAMES)
+    CASE WHEN np = op AND nk <> ok THEN 'renamed' END, CASE WHEN np = op AND nt <> ot THEN 'retyped' END], lambda x: x IS NOT NULL)) AS change_kind FROM j"""
+#: Record by record: the first spelling that can be cast, else the sum of both parts; what isn't used is counted.
+P1_TYPED_SQL = _BOUND + r""",
+  e AS (SELECT d.record_id, d.file_id, j.key, regexp_replace(lower(j.key), '[\s_\-]+', '', 'g') AS plain, json_extract_string(j.value, '$') AS s FROM demand_records d, json_each(CASE WHEN json_valid(d.body) AND json_type(d.body) = 'OBJECT' THEN d.body END) j),
+  c AS (SELECT e.*, CASE plain @NAMES@ ELSE o.role END AS role, CASE plain @ORDER@ ELSE 99 END AS k, TRY_CAST(replace(trim(s), ',', '') AS DOUBLE) AS v FROM e LEFT JOIN found o USING (file_id, key)),
+  w AS (SELECT *, CASE WHEN role = 'node' AND v <> floor(v) OR isnan(v) THEN NULL ELSE v END AS x, plain IN ('transferboardings', 'transferalight') AS part FROM c),
+  pick AS (SELECT record_id, role, arg_min(x, k) AS x, 1 AS used FROM w WHERE role IS NOT NULL AND NOT part AND x IS NOT NULL GROUP BY ALL),
+  added AS (SELECT record_id, role, sum(x) AS x, 2 AS used FROM w WHERE part GROUP BY ALL HAVING count(*) = 2 AND count(x) = 2),
+  got AS (SELECT * FROM pick UNION ALL SELECT * FROM added ANTI JOIN pick USING (record_id, role)),
+  wide AS (SELECT record_id, sum(used) AS used, max(x) FILTER (role = 'node') AS node, max(x) FILTER (role = 'boardings_daily') AS b, max(x) FILTER (role = 'alightings_daily') AS a, max(x) FILTER (role = 'totaltransfers') AS t FROM got GROUP BY 1),
+  more AS (SELECT record_id, max(v) FILTER (key = 'OldNode' AND v = floor(v)) AS old_node, max(v) FILTER (key = 'Zone' AND v = floor(v)) AS zone, count(*) AS keys FROM w GROUP BY 1)
+  SELECT d.record_id, wide.node::BIGINT AS node, round(b, 4) AS boardings_daily, round(a, 4) AS alightings_daily, round(t, 4) AS totaltransfers, old_node::BIGINT AS old_node, zone::BIGINT AS zone,
+    (CASE WHEN keys IS NULL THEN (d.body IS NOT NULL AND NOT coalesce(json_valid(d.body) AND json_type(d.body) = 'OBJECT', false))::INT ELSE keys - coalesce(used, 0) - (old_node IS NOT NULL)::INT - (zone IS NOT NULL)::INT END)::BIGINT AS n_rescued
+  FROM demand_records d LEFT JOIN wide USING (record_id) LEFT JOIN more USING (record_id)""".replace("@NAMES@", _NAMES).replace("@ORDER@", _ORDER)
 
 #: The texts read from left to right by one pattern: a quoted span, or what lies between delimiters.
 P2_SQL = r"""WITH t AS (SELECT hub_row, 'line_unique' AS field, line_unique AS s FROM grouped_hubs UNION ALL
@@ -132,4 +156,4 @@ P4_SQL = r"""WITH h AS (SELECT group_id, hub_row, regexp_replace(upper(trim(geom
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p1_typed": P1_TYPED_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
