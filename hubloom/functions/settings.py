@@ -76,13 +76,13 @@ RANDOM_INDEX_BEYOND = 1.49
 CONSISTENT = 0.10
 SAATY = {
     1: "Equal importance",
-    2: "Between equal and moderate",
+    2: "Weak or slight",
     3: "Moderate importance",
-    4: "Between moderate and strong",
+    4: "Moderate plus",
     5: "Strong importance",
-    6: "Between strong and very strong",
+    6: "Strong plus",
     7: "Very strong importance",
-    8: "Between very strong and extreme",
+    8: "Very, very strong",
     9: "Extreme importance",
 }
 #: Words an export cut short, and what they were.
