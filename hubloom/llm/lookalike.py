@@ -2,53 +2,53 @@
 
 What a text looks like is fixed by a table: invisible characters count nothing, blanks of
 every kind are one blank, full-width, wide and ligature forms are the letters they show,
-and letters of different scripts that look alike are one look. Accents are brought to one
-way of composing. Case, accents, vowel points, raised and circled digits and punctuation
-keep their look.
+and letters of different scripts that look alike are one look. The table is made by rule
+from Unicode's own data: categories and decompositions, and the public list of confusable
+characters (`Looks.of`). Accents are brought to one way of composing. Case, accents, vowel
+points, raised and circled digits and punctuation keep their look.
 
 The spelling is then chosen word by word. The corpus's own words of one script form a
-vocabulary with counts. Words whose letters all have look-alikes (``ВС`` or ``BC``) are
-sought in a trie of that vocabulary by an edit automaton in which a look-alike and an
-ignorable character cost nothing and anything else costs one; the matching spelling used
-most often is canonical. A word without a match is normalised by the table: to the script
-its unmistakable letters belong to, else to Latin.
-
-The canonical form is a function of the look alone, and differs where the look differs.
+vocabulary with counts. Words of mixed scripts or with disguised characters, and words all
+of whose letters another script has too (``ВС`` or ``BC``), are sought in tries of that
+vocabulary by a weighted edit automaton: a look-alike and an ignorable character cost
+nothing, a letter that the public list holds for confusable though the table doesn't (of
+scripts without case, such as ``ꓐ``, or of the other case) half, anything else more than
+the budget. The cheapest match, of equal ones the most frequent, is canonical. A word
+without a match is normalised by the table: to the script its unmistakable letters belong
+to, else to Latin.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata as ud
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache, wraps
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubloom.session import written
-
-# Letters that look like a Latin letter, in the order of the Latin ones below them.
-CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜаеорсухѕіјһԁԛԝӏ"
-CYRILLIC_AS = "ABESIJKMHOPCTXYGQWaeopcyxsijhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXocj"
-OTHER = "ɡօհսոցԝⲟ"
-OTHER_AS = "gohungwo"
-LOOKS = str.maketrans(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS)
-TO_CYRILLIC = {ord(l): c for c, l in zip(CYRILLIC, CYRILLIC_AS)}
-TO_GREEK = {ord(l): g for g, l in zip(GREEK, GREEK_AS)}
-AMBIGUOUS = frozenset(CYRILLIC_AS + GREEK_AS + OTHER_AS)
+from hubloom.session import drop_written, written
+
 #: Blanks besides those of category Zs, and characters without a look besides those of category Cf.
 BLANKS = "\t\x0b\x0c\x1c\x1d\x1e\x1f\u2800"
 IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u3164\uffa0"
 #: Kinds of compatibility form that look like what they stand for; of <compat> only letters.
 FORMS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 LONG_S = "\u017f\ufb05"
-WORD = re.compile(r"[\w\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7]+")
+#: Letters that look like a Latin letter in most typefaces and that the public list of confusables leaves out or holds for another.
+BESIDES = {"Ԛ": "Q", "ӏ": "l"}
+#: What a letter costs that is confusable but not of the table, any other change, and how much may be spent on a word.
+HALF, EDIT, BUDGET = 0.5, 2.0, 1.0
+#: Words of one trie, on average.
+SHARD = 50_000
+_MARKS = "\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7"
+_UNSEEN = "\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\u00ad\u061c\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0100-\U000e01ef" + IGNORABLE
+WORD = re.compile(rf"[\w{_MARKS}]+")
+RAW_WORD = re.compile(rf"[\w{_MARKS}{_UNSEEN}]+")
 
 
 def _fold_one(ch: str) -> str | None:
@@ -91,164 +91,225 @@ def folded(text: str) -> str:
     return ud.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").translate(_FOLDS))
 
 
-#: Longer words are no vocabulary: they are spelled by the table.
-LONGEST = 64
-
-
-def _kept(f: Callable) -> Callable:
-    """f with its results kept, but for very long words."""
-    kept = lru_cache(200_000)(f)
-
-    @wraps(f)
-    def g(word: str):
-        return kept(word) if len(word) <= LONGEST else f(word)
-
-    return g
-
-
-@_kept
-def look(word: str) -> str:
-    """The look of a folded word: every look-alike as its Latin letter."""
-    return word if word.isascii() else ud.normalize("NFC", ud.normalize("NFD", word).translate(LOOKS))
-
-
-def _script(ch: str) -> str:
-    if ch < "\u0250" or "\u1e00" <= ch <= "\u1eff":
-        return "Latin"
-    return "Greek" if "\u0370" <= ch <= "\u03ff" else "Cyrillic" if "\u0400" <= ch <= "\u052f" else "other"
+class Looks:
+    """The table of look-alikes, and what follows from it for words.
 
+    confusable: character -> what the public list of confusables shows it as (its skeleton).
+    """
 
-@_kept
-def scripts(look_of_word: str) -> frozenset[str]:
-    """The scripts of a look's unmistakable letters."""
-    return frozenset(_script(c) for c in ud.normalize("NFD", look_of_word) if c.isalpha() and c not in AMBIGUOUS)
+    def __init__(self, confusable: dict[str, str]):
+        self.confusable = confusable
+        latin: dict[str, list[str]] = {}
+        for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+            latin.setdefault(confusable.get(c, c), []).append(c)
+        #: letter -> the Latin letter of its case that it looks like; only of scripts with case, whose letters stay apart among themselves
+        self.shown = dict(BESIDES)
+        for c, skeleton in confusable.items():
+            case = ud.category(c)
+            same = [x for x in latin.get(skeleton, ()) if ud.category(x) == case]
+            if case in ("Lu", "Ll") and same and not c.isascii() and c not in BESIDES:
+                self.shown[c] = same[0]
+        self.table = {ord(c): x for c, x in self.shown.items()}
+        #: script -> Latin letter -> the letter of the script that looks like it, the commonest first
+        self.back: dict[str, dict[str, str]] = {}
+        for c in sorted(self.shown, key=lambda c: (not "\u0391" <= c <= "\u044f", c)):
+            self.back.setdefault(script(c), {}).setdefault(self.shown[c], c)
+        self.back.pop("LATIN", None)
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Looks:
+        """By the list of confusables that the ICU library beside Spark ships."""
+        letters = [chr(c) for c in range(0x41, 0x20000) if not 0xD800 <= c < 0xE000 and ud.category(chr(c))[0] == "L"]
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        shown = checker.getSkeleton("\n".join(letters)).split("\n")
+        if len(shown) != len(letters):
+            raise RuntimeError("the list of confusables has another form than expected")
+        return cls({c: s for c, s in zip(letters, shown) if s != c})
+
+    def look(self, word: str) -> str:
+        """The look of a folded word: every look-alike as its Latin letter."""
+        return word if word.isascii() else ud.normalize("NFC", ud.normalize("NFD", word).translate(self.table))
+
+    def skeleton(self, look: str) -> str:
+        """What all words that any letters of the public list turn into one another have in common."""
+        return "".join(self.confusable.get(c, c) for c in ud.normalize("NFD", look))
+
+    def _letters(self, look: str) -> tuple[set[str], set[str]]:
+        """A look's Latin letters, and the scripts of its other ones."""
+        letters = {c for c in (look if look.isascii() else ud.normalize("NFD", look)) if c.isalpha()}
+        return {c for c in letters if c.isascii()}, {script(c) for c in letters if not c.isascii()}
+
+    def by_table(self, look: str) -> str:
+        """The spelling of a look no vocabulary knows."""
+        if look.isascii():
+            return look
+        latin, others = self._letters(look)
+        back = self.back.get(next(iter(others)), {}) if len(others) == 1 else {}
+        if not latin or not latin <= back.keys():
+            return look
+        return ud.normalize("NFC", ud.normalize("NFD", look).translate({ord(x): c for x, c in back.items()}))
+
+    def undecided(self, look: str) -> bool:
+        """Whether only a vocabulary can tell a word's script: another script has all its letters too."""
+        latin, others = self._letters(look)
+        return bool(latin) and not others and any(latin <= back.keys() for back in self.back.values())
+
+    def pure(self, word: str) -> bool:
+        """Whether a word as it is written is of one script and without disguise."""
+        if word.isascii():
+            return any(c.isalpha() for c in word)
+        scripts = {script(c) for c in ud.normalize("NFD", word) if c.isalpha()}
+        return len(scripts) == 1 and scripts <= {"LATIN", *self.back} | UNCASED and folded(word) == word
 
 
-@_kept
-def by_table(look_of_word: str) -> str:
-    """The spelling of a look no vocabulary knows."""
-    table = {frozenset({"Cyrillic"}): TO_CYRILLIC, frozenset({"Greek"}): TO_GREEK}.get(scripts(look_of_word))
-    if table is None:
-        return look_of_word
-    return ud.normalize("NFC", ud.normalize("NFD", look_of_word).translate(table))
+def script(letter: str) -> str:
+    """The script of a letter, the first word of its name."""
+    return ud.name(letter, "?").partition(" ")[0]
 
 
-@_kept
-def undecided(word: str) -> bool:
-    """Whether only a vocabulary can tell a word's script: all its letters have look-alikes."""
-    shown = look(word)
-    if len(shown) > LONGEST:
-        return False
-    shown = ud.normalize("NFD", shown)
-    return any(c.isalpha() for c in shown) and all(c in AMBIGUOUS for c in shown if c.isalpha())
+#: Scripts without case whose words can be vocabulary.
+UNCASED = {"HEBREW", "ARABIC"}
 
 
 class Trie:
     """A vocabulary by letters, traversed under an edit automaton with costs."""
 
-    def __init__(self, words: dict[str, int]):
-        self.root: dict = {}
+    def __init__(self, words: dict[str, int], looks: Looks):
+        self.looks, self.root = looks, {}
         for word, n in words.items():
             at = self.root
-            for ch in word:
+            for ch in ud.normalize("NFD", word):
                 at = at.setdefault(ch, {})
-            at[""] = n
+            at.setdefault("", []).append((word, n))
+
+    def _step(self, a: str, b: str, edit: float) -> float:
+        shown, known = self.looks.shown, self.looks.confusable
+        if a == b or shown.get(a, a) == shown.get(b, b):
+            return 0.0
+        return HALF if a.isalpha() and b.isalpha() and known.get(a, a) == known.get(b, b) else edit
 
-    def matches(self, query: str, budget: float = 0.0, edit: float = 1.0) -> list[tuple[float, str, int]]:
+    def matches(self, query: str, budget: float = 0.0, edit: float = EDIT) -> list[tuple[float, str, int]]:
         """cost, word, count of every word within the budget, the best first.
 
         The automaton's states are places in the query; they are carried down the trie,
         each with its least cost. A letter that looks the same, and an ignorable one left
-        out of the query, cost nothing; any other change, gap or addition costs `edit`.
+        out of the query, cost nothing, a confusable one `HALF`; any other change, gap or
+        addition costs `edit`.
         """
+        query = ud.normalize("NFD", query)
         n, found = len(query), []
 
         def skips(states: dict[int, float]) -> dict[int, float]:
-            for i in range(n):
-                if i in states:
+            todo = list(states)
+            while todo:
+                i = todo.pop()
+                if i < n:
                     cost = states[i] + (0.0 if _FOLDS[ord(query[i])] == "" else edit)
                     if cost <= budget and cost < states.get(i + 1, budget + 1):
                         states[i + 1] = cost
+                        todo.append(i + 1)
             return states
 
-        stack = [(self.root, "", skips({0: 0.0}))]
+        stack = [(self.root, skips({0: 0.0}))]
         while stack:
-            node, word, states = stack.pop()
-            if "" in node and n in states:
-                found.append((states[n], word, node[""]))
+            node, states = stack.pop()
             for ch, child in node.items():
                 if ch == "":
+                    found += [(states[n], word, k) for word, k in child if n in states]
                     continue
                 after: dict[int, float] = {}
                 for i, cost in states.items():
                     if cost + edit <= budget:  # a letter of the word that the query lacks
                         after[i] = min(after.get(i, budget + 1), cost + edit)
                     if i < n:
-                        step = cost + (0.0 if look(query[i]) == look(ch) else edit)
+                        step = cost + self._step(query[i], ch, edit)
                         if step <= budget:
                             after[i + 1] = min(after.get(i + 1, budget + 1), step)
                 if after:
-                    stack.append((child, word + ch, skips(after)))
+                    stack.append((child, skips(after)))
         return sorted(found, key=lambda f: (f[0], -f[2], f[1]))
 
 
-def _one_script(word: str) -> bool:
-    return len({_script(c) for c in ud.normalize("NFD", word) if c.isalpha()}) == 1
+WORDS = "word string, n bigint, key string, asked boolean, pure boolean"
 
 
-def undecided_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n: every undecided word of all texts as it is spelled, with its count."""
+def corpus_words(docs: DataFrame, looks: Looks, text: str = "text") -> DataFrame:
+    """word, n, key, asked, pure: every word of all texts as it is written, ignorable characters and all, with its count.
+
+    key: the skeleton of its look; asked: whether a vocabulary has to tell its spelling;
+    pure: whether it is vocabulary itself.
+    """
+    of = docs.sparkSession.sparkContext.broadcast(looks)  # of Unicode's size, whatever the texts
+
+    def rows(seen: Counter[str]) -> pd.DataFrame:
+        out = []
+        for word, n in seen.items():
+            look, pure = of.value.look(folded(word)), of.value.pure(word)
+            out.append((word, n, of.value.skeleton(look), not pure or of.value.undecided(look), pure))
+        return pd.DataFrame(out, columns=["word", "n", "key", "asked", "pure"]).astype({"n": "int64", "asked": bool, "pure": bool})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for t in batch["text"]:
-                seen.update(w for w in WORD.findall(folded(t)) if undecided(w))
-            if len(seen) > 100_000:
-                yield pd.DataFrame(seen.items(), columns=["word", "n"])
-                seen.clear()
-        yield pd.DataFrame(seen.items(), columns=["word", "n"]).astype({"n": "int64"})
+                seen.update((WORD if t.isascii() else RAW_WORD).findall(t))
+                if len(seen) > 100_000:
+                    yield rows(seen)
+                    seen.clear()
+        yield rows(seen)
 
-    words = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, "word string, n bigint")
-    return words.groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, WORDS)
+    return words.groupBy("word").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("key", "asked", "pure")))
 
 
-def spellings(words: DataFrame, shards: int = 64) -> DataFrame:
+def spellings(words: DataFrame, looks: Looks, shards: int | None = None) -> DataFrame:
     """look, spelling: the looks whose canonical spelling isn't the one by the table.
 
-    words: of `undecided_words`. They are dealt to shards by look, so that all words that
-    can match meet; each shard has its own trie of the words of one script.
+    words: of `corpus_words`. Only words that share a key with one that is asked for are
+    kept. They are dealt to shards by key, so that all words that can match, at any cost
+    within the budget, meet; each shard has its own trie.
     """
-
-    @F.pandas_udf("string")
-    def looks(word: pd.Series) -> pd.Series:
-        return word.map(look)
+    of = words.sparkSession.sparkContext.broadcast(looks)
+    kept = words.join(words.where("asked").select("key").distinct(), "key", "left_semi").where("asked or pure")
+    if shards is None:
+        kept, _ = written(kept)
+        shards = max(1, math.ceil(kept.count() / SHARD))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie({w: n for w, n in zip(group["word"], group["n"]) if _one_script(w)})
-        out = {}
-        for word, shown in zip(group["word"], group["look"]):
-            if shown not in out:
-                found = trie.matches(word)
-                # of equally frequent spellings the one by the table, then the first in code order
-                best = min(found, key=lambda f: (f[0], -f[2], f[1] != by_table(shown), f[1]), default=None)
-                out[shown] = best[1] if best else by_table(shown)
-        rows = [(k, v) for k, v in out.items() if v != by_table(k)]
-        return pd.DataFrame(rows, columns=["look", "spelling"])
-
-    dealt = words.withColumn("look", looks("word")).withColumn("shard", F.pmod(F.xxhash64("look"), F.lit(shards)))
+        looks = of.value
+        trie = Trie({w: n for w, n, pure in zip(group["word"], group["n"], group["pure"]) if pure}, looks)
+
+        def best(query: str, look: str) -> str | None:
+            found = trie.matches(query, BUDGET)
+            # of equally frequent spellings the one by the table, then the first in code order
+            return min(found, key=lambda f: (f[0], -f[2], f[1] != looks.by_table(look), f[1]))[1] if found else None
+
+        out: dict[str, str] = {}
+        for word in sorted(group["word"][group["asked"]]):
+            look = looks.look(folded(word))
+            if look not in out:
+                found = best(word, look)
+                if found is not None and looks.look(found) != look:  # confusable: as that word is itself spelled
+                    found = best(found, looks.look(found))
+                out[look] = looks.by_table(look) if found is None else found
+        return pd.DataFrame([(k, v) for k, v in out.items() if v != looks.by_table(k)], columns=["look", "spelling"])
+
+    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(choose, "look string, spelling string")
 
 
-def canonical_text(text: str, chosen: dict[str, str]) -> str:
+def canonical_text(text: str, chosen: dict[str, str], looks: Looks) -> str:
     """The canonical form of a text, given the spellings that differ from the table's."""
+    kept: dict[str, str] = {}
 
     def one(m: re.Match) -> str:
         word = m.group()
         if word.isascii():
-            return chosen.get(word, word) if chosen else word
-        shown = look(word)
-        return chosen.get(shown) or by_table(shown)
+            return chosen.get(word, word)
+        if word not in kept:
+            look = looks.look(word)
+            kept[word] = chosen.get(look) or looks.by_table(look)
+        return kept[word]
 
     return WORD.sub(one, folded(text))
 
@@ -265,7 +326,11 @@ def canonicalize(docs: DataFrame, id: str = "doc_id", text: str = "text", max_br
     text_hash exactly if they are the same. A null text has nulls; an empty text, or one
     of invisible characters only, is canonical as the empty text.
     """
-    chosen, _ = written(spellings(undecided_words(docs, text)))
+    looks = Looks.of(docs.sparkSession)
+    words, words_at = written(corpus_words(docs, looks, text))
+    chosen, _ = written(spellings(words, looks))
+    drop_written(docs.sparkSession, words_at)
+    of = docs.sparkSession.sparkContext.broadcast(looks)
     d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     out = f"id {docs.schema[id].dataType.simpleString()}, {CANONICAL}"
 
@@ -278,18 +343,18 @@ def canonicalize(docs: DataFrame, id: str = "doc_id", text: str = "text", max_br
 
         def by_broadcast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield rows(batch, [None if t is None else canonical_text(t, table.value) for t in batch["text"]])
+                yield rows(batch, [None if t is None else canonical_text(t, table.value, of.value) for t in batch["text"]])
 
         return d.mapInPandas(by_broadcast, out).withColumnRenamed("id", id)
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = {(k, look(w)) for k, t in zip(batch["key"], batch["text"]) for w in set(WORD.findall(folded(t))) if undecided(w)}
+            pairs = {(k, of.value.look(w)) for k, t in zip(batch["key"], batch["text"]) for w in set(WORD.findall(folded(t)))}
             yield pd.DataFrame(sorted(pairs), columns=["key", "look"])
 
     def by_column(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield rows(batch, [None if t is None else canonical_text(t, dict(c) if c is not None else {}) for t, c in zip(batch["text"], batch["chosen"])])
+            yield rows(batch, [None if t is None else canonical_text(t, dict(c) if c is not None else {}, of.value) for t, c in zip(batch["text"], batch["chosen"])])
 
     keyed = d.withColumn("key", F.sha2("text", 256))
     distinct = keyed.where("text is not null").select("key", "text").mapInPandas(looked_up, "key string, look string").distinct()
@@ -314,3 +379,11 @@ def look_pairs(forms: DataFrame, id: str = "doc_id") -> DataFrame:
     right = f.select(F.col("id").alias("id_b"), F.col("text_hash").alias("text_b"))
     both = pairs.join(left, "text_a").join(right, "text_b").where("id_a <> id_b")
     return both.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b")).distinct()
+
+
+def look_classes(forms: DataFrame, id: str = "doc_id") -> DataFrame:
+    """look_hash, first_doc, n_docs, n_texts: every look that more than one text has, a row each, however many documents share it. forms: of `canonicalize`."""
+    f = forms.where(F.col(id).isNotNull() & F.col("text_hash").isNotNull())
+    per_text = f.groupBy("look_hash", "text_hash").agg(F.min(id).alias("first_doc"), F.count("*").alias("n_docs"))
+    per_look = per_text.groupBy("look_hash").agg(F.min("first_doc").alias("first_doc"), F.sum("n_docs").alias("n_docs"), F.count("*").alias("n_texts"))
+    return per_look.where("n_texts > 1")

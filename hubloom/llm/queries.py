@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions.packed import packed_items, whole_number
 from hubloom.llm.components import components
-from hubloom.llm.lookalike import canonicalize, look_pairs
+from hubloom.llm.lookalike import canonicalize, look_classes, look_pairs
 from hubloom.llm.mixing import mix
 from hubloom.llm.packing import fill_report, pack
 from hubloom.llm.ranking import rank_items
@@ -90,8 +90,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_pairs(canonicalize(table(spark, sf_dir, "documents")))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The looks that several texts have, a row each: what p8_found pairs, without the pairs."""
+    return look_classes(canonicalize(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found, p8_canonical)}
+    return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found, p8_classes, p8_canonical)}
 
 
 #: The transitive closure, by recursion.
