@@ -9,7 +9,7 @@ from hubloom.functions.packed import packed_items, whole_number
 from hubloom.llm.components import components
 from hubloom.llm.lookalike import canonicalize, look_classes, look_pairs
 from hubloom.llm.mixing import mix
-from hubloom.llm.packing import fill_report, pack
+from hubloom.llm.packing import fill_report, pack, packing_faults
 from hubloom.llm.ranking import rank_items
 from hubloom.session import table
 
@@ -70,6 +70,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(pack(table(spark, sf_dir, "documents")))
 
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers over a capacity and documents not packed whole: none of either."""
+    docs = table(spark, sf_dir, "documents")
+    return packing_faults(pack(docs), docs)
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen documents with their repeats."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
@@ -96,7 +102,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p7_mixture, p7_shares, p8_found, p8_classes, p8_canonical)}
+    return {f.__name__: f for f in (p3_criteria_ranking, p5_found, p5_groups, p6_packing, p6_fill, p6_faults, p7_mixture, p7_shares, p8_found, p8_classes, p8_canonical)}
 
 
 #: The transitive closure, by recursion.
@@ -111,4 +117,5 @@ P5_SQL = r"""WITH RECURSIVE hn AS (SELECT DISTINCT group_id AS a, (unnest(regexp
 
 def oracle_sql() -> dict[str, str]:
     alone = P5_SQL.replace("WHERE n > 1", "UNION SELECT group_id, group_id FROM grouped_hubs WHERE group_id IS NOT NULL AND group_id NOT IN (SELECT id FROM reach)")
-    return {"p5_found": P5_SQL, "p5_groups": alone}
+    none = "SELECT count(*) AS documents, 0::BIGINT AS over_tokens, 0::BIGINT AS over_docs, 0::BIGINT AS over_attention, 0::BIGINT AS not_whole FROM documents"
+    return {"p5_found": P5_SQL, "p5_groups": alone, "p6_faults": none}
