@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hubloom.functions.geometry import cell_place, place, polygons, wkt_centroid
+from hubloom.operators import near
 from hubloom.operators.near import pairs_within, regions_around, slabs
 
 
@@ -47,12 +48,50 @@ SHAPES = [
 def test_regions_match_even_odd(spark, tile):
     rng = np.random.default_rng(2)
     xy = rng.uniform(-2, 32, (400, 2))
-    cut = slabs(spark.createDataFrame(SHAPES, "id long, wkt string"))
-    got = {(r.id, r.region) for r in regions_around(points(spark, xy), cut, tile=tile).collect()}
+    cut = slabs(spark.createDataFrame(SHAPES, "id long, wkt string"), tile=tile)
+    got = {(r.id, r.region) for r in regions_around(points(spark, xy), cut, hot=20).collect()}
     want = {(i, k) for i, (x, y) in enumerate(xy) for k, w in SHAPES if k and even_odd(w, x, y)}
     assert got == want
 
 
+def inside(rows, x, y):
+    """The search of `regions_around`, in Python."""
+    hits = 0
+    for size, tx, ty, xs, odd, starts, y0, y1 in rows:
+        if (np.floor(x / size), np.floor(y / size)) == (tx, ty):
+            hits += 1
+            k = min(max(np.searchsorted(xs, x, "right") - 1, 0), len(odd) - 1)
+            t = (x - xs[k]) / (xs[k + 1] - xs[k])
+            yield (sum(a + (b - a) * t <= y for a, b in zip(y0[starts[k] : starts[k + 1]], y1[starts[k] : starts[k + 1]])) % 2 == 1) != odd[k]
+    assert hits <= 1
+
+
+@pytest.mark.parametrize("crowded", [48, 3])
+@pytest.mark.parametrize("tile", [1.0, 2.5, 7.0, 100.0])
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles_of_any_shape(monkeypatch, seed, tile, crowded):
+    """Also with ends on the tiles' lines, upright and level edges, and edges that cross."""
+    monkeypatch.setattr(near, "CROWDED", crowded)
+    rng = np.random.default_rng(seed)
+    ring = rng.uniform(-12, 12, (30, 2)) if seed % 2 else rng.integers(-6, 7, (30, 2)).astype(float) * 2
+    wkt = f"POLYGON (({', '.join(f'{a} {b}' for a, b in ring)}))"
+    rows = list(near._tiles(wkt, tile))
+    for x, y in rng.uniform(-14, 14, (300, 2)):
+        assert any(inside(rows, x, y)) == even_odd(wkt, x, y)
+
+
+def test_many_vertices_take_memory_in_proportion(spark):
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    radius = 900 + 60 * np.sin(5_000 * turn)
+    teeth = np.stack([radius * np.cos(turn), radius * np.sin(turn)], axis=1)
+    comb = np.array([(x, y) for k in range(1_000) for x, y in ((0.0, k), (900.0 + k % 7, k), (900.0 + k % 7, k + 0.5), (1.0, k + 0.5))])
+    for ring in (teeth, comb):
+        rows = list(near._tiles(f"POLYGON (({', '.join(f'{a:.6f} {b:.6f}' for a, b in ring)}))", 2_000.0))
+        assert sum(len(r[6]) for r in rows) < 40 * len(ring)
+        size = [r[0] for r in rows]
+        assert min(size) < 2_000.0
+
+
 def test_regions_empty(spark):
     cut = slabs(spark.createDataFrame(SHAPES, "id long, wkt string"))
     assert regions_around(points(spark, [(1, 1)]).limit(0), cut).count() == 0
