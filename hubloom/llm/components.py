@@ -63,10 +63,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     while layers:
         # only parents that hang under another go on; each is one row here, however many children it has
         onward = tree.join(tree.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        onward, onward_at = written(onward)
         if onward.isEmpty():
             break
         up = onward.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
         tree, at = written(tree.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent")))
+        drop_written(spark, onward_at)
         if old:
             drop_written(spark, old)
         old = at

@@ -11,30 +11,42 @@ from hubloom.llm.lookalike import canonicalize, look_classes, look_pairs
 from hubloom.llm.mixing import mix
 from hubloom.llm.packing import fill_report, pack, packing_faults
 from hubloom.llm.ranking import rank_items
-from hubloom.session import table
+from hubloom.operators.numbering import number_in_order
+from hubloom.session import drop_written, table, written
 
 #: Node numbers are vertices from here on, hubs below: a set's smallest vertex is its smallest hub.
 NODES_FROM = 2**61
 NOTE_NUMBER = r"(?<![\p{L}\p{N}_.])(\d+)(?:\.0*)?(?![\p{L}\p{N}_]|\.\d)"
 
 
-def _vertex(digits):
-    """A node's vertex. Numbers of more than 18 digits share a range of their own, by hash."""
-    long = F.lit(NODES_FROM + 2**60) + F.pmod(F.xxhash64(digits), F.lit(2**60))
-    return F.when(F.length(digits) <= 18, F.lit(NODES_FROM) + digits.try_cast("bigint")).otherwise(long)
-
-
 def hub_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b: each hub with its nodes, and the nodes of a note with the note's first."""
+    """a, b: each hub with its nodes, and the nodes of a note with the note's first.
+
+    A node number is a vertex by its value; those of more than 18 digits, which have no
+    room there, by their place among each other.
+    """
     hubs = table(spark, sf_dir, "grouped_hubs").where("group_id is not null")
     nodes = F.filter(F.transform(packed_items(F.col("node"), "always"), whole_number), lambda n: n.isNotNull())
-    own = hubs.select(F.col("group_id").alias("a"), F.explode(nodes).alias("n")).select("a", _vertex(F.col("n")).alias("b"))
+    own = hubs.select(F.col("group_id").alias("hub"), F.explode(nodes).alias("n"))
     numbers = F.transform(
         F.regexp_extract_all("nodes_in_group", F.lit(NOTE_NUMBER), F.lit(1)), lambda n: F.regexp_replace(n, "^0+(?=.)", "")
     )
     notes = table(spark, sf_dir, "is_same_group").select(F.array_distinct(numbers).alias("n")).where("size(n) > 1")
     tied = notes.select(F.get("n", F.lit(0)).alias("first"), F.explode("n").alias("n"))
-    return own.unionByName(tied.select(_vertex(F.col("first")).alias("a"), _vertex(F.col("n")).alias("b")))
+    return numbered_nodes(own, tied)
+
+
+def numbered_nodes(own: DataFrame, tied: DataFrame) -> DataFrame:
+    """a, b of own (hub, n) and tied (first, n), whose n and first are node numbers as digits."""
+    long, at = written(own.select("n").unionByName(tied.select("n")).where("length(n) > 18").distinct())
+    short = lambda c: F.lit(NODES_FROM) + F.col(c).try_cast("bigint")
+    if long.isEmpty():
+        drop_written(own.sparkSession, at)
+        return own.select(F.col("hub").alias("a"), short("n").alias("b")).unionByName(tied.select(short("first").alias("a"), short("n").alias("b")))
+    place = number_in_order(long, "n", name="place").select(F.col("n").alias("long"), (F.lit(NODES_FROM + 2**60) + F.col("place")).alias("v"))
+    vertex = lambda c: F.when(F.length(c) <= 18, short(c)).otherwise(F.col("v"))
+    numbered = lambda df, c: df.join(place, F.when(F.length(c) > 18, F.col(c)) == F.col("long"), "left").withColumn(c, vertex(c)).drop("long", "v")
+    return numbered(own, "n").select(F.col("hub").alias("a"), F.col("n").alias("b")).unionByName(numbered(numbered(tied, "n"), "first").select(F.col("first").alias("a"), F.col("n").alias("b")))
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hubloom.operators.numbering import number_in_order
@@ -24,7 +24,7 @@ from hubloom.session import drop_written, written
 
 #: Up to so many items the walk, at most their square of rows, runs in one task; beyond, over the cluster.
 ONE_TASK_ITEMS = 2_000
-#: Values beyond the scale, with room for rounding, are no judgements.
+#: The usual scale of judgements, 1/9 to 9.
 SCALE = 9.0
 
 
@@ -33,16 +33,20 @@ def plain_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(c), r"[\s_\-]+", ""), F.lit(""))
 
 
-def votes(comparisons: DataFrame, items: DataFrame, item: str, a: str, b: str, value: str, expert: str | None) -> DataFrame:
+def votes(comparisons: DataFrame, items: DataFrame, item: str, a: str, b: str, value: str, expert: str | None, scale: float | None = SCALE) -> DataFrame:
     """lo, hi (items in order), expert, share of lo: one vote per expert and pair.
 
     Left out: null or unknown items, an item against itself, and values that are null,
-    NaN, not positive or beyond the scale. Without an expert every row is its own.
+    NaN, infinite, not positive or, by more than rounding, beyond the scale (1/scale to
+    scale; None: any). Without an expert every row is its own.
     """
     names = items.where(F.col(item).isNotNull()).select(F.col(item).alias("name"), plain_name(F.col(item)).alias("key")).groupBy("key").agg(F.min("name").alias("name"))
     who = F.coalesce(F.col(expert), F.lit("")) if expert else F.monotonically_increasing_id().cast("string")
     v = F.col(value).cast("double")
-    good = comparisons.where(v.isNotNull() & ~F.isnan(v) & (v >= 0.99 / SCALE) & (v <= SCALE * 1.01)).select(
+    judged = v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))
+    if scale is not None:
+        judged &= (v >= 0.99 / scale) & (v <= scale * 1.01)
+    good = comparisons.where(judged).select(
         plain_name(F.col(a)).alias("a"), plain_name(F.col(b)).alias("b"), who.alias("expert"), (v / (v + 1)).alias("p")
     ).where("a is not null and b is not null and a <> b")
     # aggregated under the written names first, then named: the few pairs are what is shuffled
@@ -73,34 +77,37 @@ def _walk(i: np.ndarray, j: np.ndarray, rate: np.ndarray, n: int, tolerance: flo
         done = np.abs(after - p).sum() < tolerance
         p = after
         if done:
-            break
-    p = p / out
-    return p / p.sum()
+            p = p / out
+            return p / p.sum()
+    raise RuntimeError(f"the walk has not converged to {tolerance} after {steps} steps")
 
 
 def rank_items(
     comparisons: DataFrame, items: DataFrame, item: str = "item", a: str = "a", b: str = "b", value: str = "value", expert: str | None = None,
-    smoothing: float = 1.0, tolerance: float = 1e-12, steps: int = 20_000, one_task: int = ONE_TASK_ITEMS,
+    smoothing: float = 1.0, tolerance: float = 1e-12, steps: int = 200_000, one_task: int = ONE_TASK_ITEMS, scale: float | None = SCALE,
 ) -> DataFrame:
     """item, strength, rank, n_votes, n_opponents: a row for every item of `items`.
 
     Strengths sum to 1 over the items; equal ones are ranked by name. Items nobody
     compared have the middle strength. Names that differ in case, blanks or underscores
-    only are one item, under the first of them.
+    only are one item, under the first of them. scale: see `votes`. A walk that hasn't
+    come to rest (a step moves less than `tolerance` of the whole) after `steps` raises.
     """
     spark = items.sparkSession
-    v, _ = written(votes(comparisons, items, item, a, b, value, expert))
+    v, _ = written(votes(comparisons, items, item, a, b, value, expert, scale))
     weighted = v.join(expert_weights(v), "expert", "left") if expert else v.withColumn("weight", F.lit(1.0))
     weight = F.coalesce("weight", F.lit(1.0))
     pairs = weighted.groupBy("lo", "hi").agg(F.sum(weight * F.col("p")).alias("lo_won"), F.sum(weight * (1 - F.col("p"))).alias("hi_won"), F.count("*").alias("k"))
     both = F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"), F.col("hi_won").alias("rate"), "k"), F.struct(F.col("hi").alias("i"), F.col("lo").alias("j"), F.col("lo_won").alias("rate"), "k"))
     edges = pairs.select(F.inline(both))
     all_items = items.where(F.col(item).isNotNull()).groupBy(plain_name(F.col(item)).alias("key")).agg(F.min(item).alias("i")).where("key is not null").select("i")
-    # the virtual item is null: no item's name
-    anchor = all_items.select("i", F.lit(None).cast("string").alias("j"), F.lit(smoothing / 2).alias("rate"), F.lit(0).cast("bigint").alias("k"))
-    back = anchor.select(F.col("j").alias("i"), F.col("i").alias("j"), "rate", "k")
-    graph, graph_at = written(edges.unionByName(anchor).unionByName(back))
-    if all_items.count() <= one_task:
+    real = edges.select("i", "j", "rate")
+    few = all_items.count() <= one_task
+    # the virtual item is null, no item's name; on the cluster it is a number, not rows
+    anchor = all_items.select("i", F.lit(None).cast("string").alias("j"), F.lit(smoothing / 2).alias("rate"))
+    back = anchor.select(F.col("j").alias("i"), F.col("i").alias("j"), "rate")
+    graph, graph_at = written(real.unionByName(anchor).unionByName(back) if few else real)
+    if few:
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
             names = sorted(set(group["i"].dropna()))
@@ -112,7 +119,7 @@ def rank_items(
         # at most one row per pair of items, whose number was just checked
         strength = graph.groupBy(F.lit(0).alias("g")).applyInPandas(solve, "i string, strength double")
     else:
-        strength = _walk_on_cluster(graph, tolerance, steps)
+        strength = _walk_on_cluster(all_items, graph, smoothing, tolerance, steps)
     total = strength.agg(F.sum("strength").alias("total"))
     per = edges.groupBy("i").agg(F.sum("k").alias("n_votes"), F.count("*").alias("n_opponents"))
     ranked, _ = written(strength.crossJoin(F.broadcast(total)).join(per, "i", "left").select(
@@ -122,22 +129,34 @@ def rank_items(
     return number_in_order(ranked, F.desc("strength"), "i", name="rank").select(F.col("i").alias(item), "strength", "rank", "n_votes", "n_opponents")
 
 
-def _walk_on_cluster(graph: DataFrame, tolerance: float, steps: int) -> DataFrame:
-    """The same walk as joins and sums over the cluster, each step written."""
+def _walk_on_cluster(items: DataFrame, graph: DataFrame, smoothing: float, tolerance: float, steps: int) -> DataFrame:
+    """The same walk over the cluster: a job a step, whose move and mass are observed while it is written.
+
+    What goes to the virtual item and comes back from it is one number a step.
+    """
     spark = graph.sparkSession
-    key = lambda c: F.coalesce(F.concat(F.lit("i"), c), F.lit(""))
-    g = graph.select(key(F.col("i")).alias("i"), key(F.col("j")).alias("j"), "rate")
-    out = g.groupBy("i").agg(F.sum("rate").alias("out"))
-    moves, _ = written(g.join(out, "i").select("i", "j", (F.col("rate") / F.col("out")).alias("move")))
+    half = smoothing / 2
+    out = items.join(graph.groupBy("i").agg(F.sum("rate").alias("rate")), "i", "left").select("i", (F.coalesce("rate", F.lit(0.0)) + half).alias("out"))
+    out, out_at = written(out)
+    moves, moves_at = written(graph.join(out, "i").select("i", "j", (F.col("rate") / F.col("out")).alias("move")))
     n = out.count()
-    p, at = written(out.select("i", "out", F.lit(1.0 / n).alias("p")))
+    if not n:
+        return out.select("i", F.col("out").alias("strength"))
+    p, at = written(out.select("i", "out", F.lit(1.0 / (n + 1)).alias("p")))
+    virtual, into_virtual = 1.0 / (n + 1), p.agg(F.sum(F.col("p") * half / F.col("out"))).first()[0]
     for _ in range(steps):
         into = p.join(moves, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("p") * F.col("move")).alias("into"))
-        step = p.join(into, "i", "left").select("i", "out", F.col("p").alias("was"), (0.5 * F.col("p") + 0.5 * F.coalesce("into", F.lit(0.0))).alias("p"))
-        after, after_at = written(step)
-        moved = after.agg(F.sum(F.abs(F.col("p") - F.col("was")))).first()[0]
+        after = 0.5 * F.col("p") + 0.5 * (F.coalesce("into", F.lit(0.0)) + virtual / n)
+        step = p.join(into, "i", "left").select("i", "out", F.col("p").alias("was"), after.alias("p"))
+        seen = Observation()
+        moved = F.sum(F.abs(F.col("p") - F.col("was"))).alias("moved")
+        step, step_at = written(step.observe(seen, moved, F.sum(F.col("p") * half / F.col("out")).alias("into_virtual")))
         drop_written(spark, at)
-        p, at = after.select("i", "out", "p"), after_at
-        if moved < tolerance:
-            break
-    return p.where("i <> ''").select(F.col("i").substr(F.lit(2), F.length("i")).alias("i"), (F.col("p") / F.col("out")).alias("strength"))
+        p, at = step.select("i", "out", "p"), step_at
+        before, virtual = virtual, 0.5 * virtual + 0.5 * into_virtual
+        into_virtual = seen.get["into_virtual"]
+        if seen.get["moved"] + abs(virtual - before) < tolerance:
+            for path in (out_at, moves_at):
+                drop_written(spark, path)
+            return p.select("i", (F.col("p") / F.col("out")).alias("strength"))
+    raise RuntimeError(f"the walk has not converged to {tolerance} after {steps} steps")

@@ -44,9 +44,21 @@ def test_recovers_order(spark):
 
 def test_cluster_walk_gives_the_same(spark):
     rows = [("p", "q", 2.0, "e"), ("q", "r", 2.0, "e"), ("p", "r", 5.0, "f")]
-    one, many = run(spark, ["p", "q", "r"], rows), run(spark, ["p", "q", "r"], rows, one_task=0, tolerance=1e-7, steps=60)
+    one, many = run(spark, ["p", "q", "r"], rows), run(spark, ["p", "q", "r"], rows, one_task=0, tolerance=1e-9)
     for k in one:
-        assert many[k].strength == pytest.approx(one[k].strength, rel=1e-3) and many[k].rank == one[k].rank
+        assert many[k].strength == pytest.approx(one[k].strength, rel=1e-7) and many[k].rank == one[k].rank
+
+
+@pytest.mark.parametrize("one_task", [2_000, 0])
+def test_a_walk_that_has_not_converged_raises(spark, one_task):
+    with pytest.raises(Exception, match="has not converged"):
+        run(spark, ["p", "q"], [("p", "q", 2.0, "e")], one_task=one_task, steps=2)
+
+
+def test_scale(spark):
+    rows = [("p", "q", 50.0, "e")]
+    assert run(spark, ["p", "q"], rows)["p"].n_votes == 0
+    assert run(spark, ["p", "q"], rows, scale=None)["p"].n_votes == run(spark, ["p", "q"], rows, scale=60.0)["p"].n_votes == 1
 
 
 def brute(names, pairs, smoothing=1.0):
@@ -82,5 +94,6 @@ def test_bad_rows_names_and_ties(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == {}
+    assert run(spark, [], [], one_task=-1) == {}
     got = run(spark, ["a", "b"], [])
     assert [got[k].strength for k in "ab"] == [pytest.approx(0.5)] * 2
