@@ -90,10 +90,18 @@ def simulate(df: DataFrame, id: str, scores: Sequence[str], weights: DataFrame)
     return df.select(id, *scores).join(F.broadcast(weights)).select(id, "iteration", dot(scores, names).alias("score"))
 
 
-def with_ranks(sim: DataFrame, id: str) -> DataFrame:
-    """sim with rank: 1.. in each iteration by falling score, ties by id."""
-    w = W.partitionBy("iteration").orderBy(F.desc("score"), id)
-    return sim.withColumn("rank", F.row_number().over(w))
+def with_ranks(sim: DataFrame, id: str, ranges: int = 64) -> DataFrame:
+    """sim with rank: 1.. in each iteration by falling score, ties by id.
+
+    A draw's scores are cut into ranges; rows are ranked within their range, behind those
+    of the higher ranges, which are only counted. So a task sorts a range, not a draw.
+    """
+    range_ = F.least(F.greatest(F.floor((1 - F.col("score")) * ranges), F.lit(0)), F.lit(ranges - 1))
+    cut = sim.withColumn("_range", range_)
+    before = W.partitionBy("iteration").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = cut.groupBy("iteration", "_range").agg(F.count("*").alias("_n")).select("iteration", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(W.partitionBy("iteration", "_range").orderBy(F.desc("score"), id))
+    return cut.withColumn("_at", within).join(ahead, ["iteration", "_range"]).withColumn("rank", F.col("_ahead") + F.col("_at")).drop("_range", "_at", "_ahead")
 
 
 def distributions(ranked: DataFrame, id: str) -> DataFrame:

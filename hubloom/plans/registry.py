@@ -12,9 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Registry:
     def __init__(self) -> None:
         self.functions: dict[str, Query] = {}
-        self.sql: dict[str, str] = {}
+        self.sql: dict[str, str | Callable[[], str]] = {}
 
-    def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
+    def __call__(self, sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
             self.functions[f.__name__] = f
             if sql is not None:
@@ -27,4 +27,4 @@ class Registry:
         return dict(self.functions)
 
     def oracle_sql(self) -> dict[str, str]:
-        return dict(self.sql)
+        return {name: sql if isinstance(sql, str) else sql() for name, sql in self.sql.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,38 +13,76 @@ from hubloom.functions import settings as S
 from hubloom.operators import ahp as H
 from hubloom.operators import montecarlo as M
 from hubloom.operators import score as C
+from hubloom.operators import workflow as O
 from hubloom.plans.analog import hubs
 from hubloom.plans.registry import Registry
-from hubloom.plans.scoring import SCORED
 from hubloom.session import ship, table, written
 
 query = Registry()
 queries, oracle_sql = query.queries, query.oracle_sql
-#: Of the queries with SQL; those named _full and mc_raw_export take all S.MC_ITERATIONS.
-DRAWS = 100
 N = len(C.CRITERIA)
+#: Draws of the queries whose rows are draws themselves; all others take every one of S.MC_ITERATIONS.
+RAW_DRAWS = 200
+
+# The hubs of the surveys, each by its first export, with five measures scaled to 0..1.
+_MEASURES = {
+    "activity_score": "totaltransfers", "service_score": "line_nunique", "location_score": "num_modes", "pop_jobs_score": "totaldemand", "terminal_score": r"len(regexp_extract_all(node, '\d+'))",
+}
+_FIRST = ", ".join(f"arg_min(CASE WHEN isnan(({x})::DOUBLE) THEN 0 ELSE coalesce(({x})::DOUBLE, 0) END, hub_row) AS {c}" for c, x in _MEASURES.items())
+_SCALED = ", ".join(f"round(coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 4) AS {c}" for c in _MEASURES)
+SURVEYED = f"WITH RECURSIVE fh AS (SELECT group_id AS hub, {_FIRST} FROM grouped_hubs WHERE group_id IS NOT NULL GROUP BY 1), rs AS (SELECT hub, {_SCALED} FROM fh)"
+
+
+def surveyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hub and its criteria, rounded to 4 digits."""
+    h = table(spark, sf_dir, "grouped_hubs").where("group_id is not null")
+    number = {c: F.regexp_count("node", F.lit(r"\d+")) if "node" in x else F.col(x) for c, x in _MEASURES.items()}
+    first = h.groupBy(F.col("group_id").alias("hub")).agg(*(F.min_by(F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)), "hub_row").alias(c) for c, x in number.items()))
+    first, _ = written(first)  # its ranges and its rows are read
+    ends = first.agg(*(f(c).alias(f"{n}_{c}") for c in _MEASURES for n, f in (("min", F.min), ("max", F.max))))
+    scaled = [F.round(F.coalesce(F.try_divide(F.col(c) - F.col(f"min_{c}"), F.col(f"max_{c}") - F.col(f"min_{c}")), F.lit(0.0)), 4).alias(c) for c in _MEASURES]
+    return first.crossJoin(F.broadcast(ends)).select("hub", *scaled)
+
+
+def _values(w: np.ndarray, name: str = "w", first: int = 0) -> str:
+    """Draws as a table of SQL, exact to the last digit."""
+    rows = ", ".join("(" + ", ".join([str(first + k), *(f"{x:.17e}" for x in r)]) + ")" for k, r in enumerate(w))
+    return f"{name}(iteration, {', '.join(f'w{j}' for j in range(w.shape[1]))}) AS (VALUES {rows})"
+
+
+@lru_cache(1)
+def _draws() -> np.ndarray:
+    return M.draw_weights(N)
+
+
+@lru_cache(1)
+def _w() -> str:
+    return _values(_draws())
+
 
-_U = ", ".join(f"((i * 1103515245 + 12345 * {j + 1} + i * {7919 * (j + 1) * (j + 3)}) % 2147483648) / 4294967296.0::DOUBLE + 1e-6::DOUBLE AS u{j}" for j in range(N))
-_SUM = " + ".join(f"u{j}" for j in range(N))
-_WEIGHTS = f"uw AS (SELECT i, {_U} FROM range(1, {DRAWS + 1}) t(i)), w AS (SELECT i AS iteration, " + ", ".join(f"u{j} / ({_SUM}) AS w{j}" for j in range(N)) + " FROM uw)"
 _DOT = " + ".join(f"{c} * w{j}" for j, c in enumerate(C.CRITERIA))
-ROUNDED = f"{SCORED}, rs AS (SELECT hub, tier, area, demand, " + ", ".join(f"round({c}, 4) AS {c}" for c in C.CRITERIA) + " FROM scored)"
-SIM = f"{ROUNDED}, {_WEIGHTS}, sim AS (SELECT hub, iteration, {_DOT} AS score FROM rs CROSS JOIN w), rk AS (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY score DESC, hub) AS rank FROM sim)"
-_STATS = f"""{SIM}, st AS (SELECT hub, avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min, max(score) AS max, quantile_cont(score, 0.05) AS p05, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.25) AS p25,
-  quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.95) AS p95, avg(rank) AS mean_rank,
-  avg((rank <= 1)::INT) AS p_top1, avg((rank <= 3)::INT) AS p_top3, avg((rank <= 5)::INT) AS p_top5 FROM rk GROUP BY hub)"""
 
 
-def _rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.criteria(hubs(spark, sf_dir)).select("hub", "tier", "area", "demand", *(F.round(c, 4).alias(c) for c in C.CRITERIA))
+def _sim() -> str:
+    return f"{SURVEYED}, {_w()}, sim AS (SELECT hub, iteration, {_DOT} AS score FROM rs CROSS JOIN w)"
+
 
+def _ranks() -> str:
+    return f"""{_sim()}, rk AS (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY score DESC, hub) AS rank FROM sim),
+  st AS (SELECT hub, avg(rank) AS mean_rank, avg((rank <= 1)::INT) AS p_top1, avg((rank <= 3)::INT) AS p_top3, avg((rank <= 5)::INT) AS p_top5 FROM rk GROUP BY hub)"""
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.with_ranks(M.simulate(_rounded(spark, sf_dir), "hub", C.CRITERIA, M.sequence_weights(spark, N, DRAWS)), "hub")
+
+def _stats_sql() -> str:
+    return f"""{_sim()}, st AS (SELECT hub, avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min, max(score) AS max, quantile_cont(score, 0.05) AS p05, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.25) AS p25,
+  quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.9) AS p90, quantile_cont(score, 0.95) AS p95 FROM sim GROUP BY hub)"""
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.distributions(_ranked(spark, sf_dir), "hub")
+    return M.simulated_distributions(surveyed(spark, sf_dir), "hub", C.CRITERIA, _draws())
+
+
+def _rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.simulated_ranks(surveyed(spark, sf_dir), "hub", C.CRITERIA, _draws())
 
 
 def _round(df: DataFrame, *columns: str) -> list:
@@ -52,136 +93,127 @@ _MEAN_W = ", ".join(f"avg(w{j}) AS m{j}" for j in range(N))
 _MEAN_DOT = " + ".join(f"{c} * m{j}" for j, c in enumerate(C.CRITERIA))
 
 
-@query(f"{ROUNDED}, {_WEIGHTS}, mw AS (SELECT {_MEAN_W} FROM w) SELECT hub, round({_MEAN_DOT}, 4) AS final_score FROM rs CROSS JOIN mw")
+@query(lambda: f"{SURVEYED}, {_w()}, mw AS (SELECT {_MEAN_W} FROM w) SELECT hub, round({_MEAN_DOT}, 4) AS final_score FROM rs CROSS JOIN mw")
 def final_score_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over all draws, as one dot product with the mean weights."""
-    w = M.sequence_weights(spark, N, DRAWS).agg(*(F.avg(f"w{j}").alias(f"w{j}") for j in range(N)))
-    return _rounded(spark, sf_dir).crossJoin(F.broadcast(w)).select("hub", F.round(M.dot(C.CRITERIA, [f"w{j}" for j in range(N)]), 4).alias("final_score"))
+    return M.mean_score(surveyed(spark, sf_dir), C.CRITERIA, _draws()).select("hub", F.round("final_score", 4).alias("final_score"))
 
 
 _A = ("mean", "std", "min", "max", "p05", "p10", "p25", "median", "p75", "p90", "p95")
 
 
-@query(f"{_STATS} SELECT hub, " + ", ".join(f"round({c}, 4) AS {c}" for c in _A) + ", round(p75 - p25, 4) AS iqr FROM st")
+@query(lambda: f"{_stats_sql()} SELECT hub, " + ", ".join(f"round({c}, 4) AS {c}" for c in _A) + ", round(p75 - p25, 4) AS iqr FROM st")
 def mc_distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution of every hub's score over all draws."""
     s = _stats(spark, sf_dir)
     return s.select("hub", *_round(s, *_A, "iqr"))
 
 
-@query(f"{_STATS} SELECT hub, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("mean_rank", "p_top1", "p_top3", "p_top5")) + " FROM st")
+@query(lambda: f"{_ranks()} SELECT hub, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("mean_rank", "p_top1", "p_top3", "p_top5")) + " FROM st")
 def mc_rank_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stats(spark, sf_dir)
+    """Every hub's mean rank and how often it leads, over all draws."""
+    s = _rank_stats(spark, sf_dir)
     return s.select("hub", *_round(s, "mean_rank", "p_top1", "p_top3", "p_top5"))
 
 
-@query(f"{_STATS} SELECT hub, round(p10, 4) AS p10, rank() OVER (ORDER BY round(p10, 4) DESC)::BIGINT AS conservative_rank FROM st")
+@query(lambda: f"{_stats_sql()} SELECT hub, round(p10, 4) AS p10, rank() OVER (ORDER BY round(p10, 4) DESC)::BIGINT AS conservative_rank FROM st")
 def mc_conservative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, _ = written(_stats(spark, sf_dir).select("hub", F.round("p10", 4).alias("p10")))
     return M.conservative_rank(s, 10).select("hub", "p10", "conservative_rank")
 
 
-@query(f"{_STATS} SELECT hub, round(p_top3, 4) AS p_top3 FROM st WHERE p_top3 >= 0.05")
+@query(lambda: f"{_ranks()} SELECT hub, round(p_top3, 4) AS p_top3 FROM st WHERE p_top3 >= 0.05")
 def mc_robust_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.robust_winners(_stats(spark, sf_dir), 3, 0.05).select("hub", F.round("p_top3", 4).alias("p_top3"))
+    return M.robust_winners(_rank_stats(spark, sf_dir), 3, 0.05).select("hub", F.round("p_top3", 4).alias("p_top3"))
 
 
-@query(f"{_STATS}, o AS (SELECT hub, round(mean, 4) AS mean, rank() OVER (ORDER BY round(mean, 4) DESC)::BIGINT AS overall_rank_by_mean FROM st) SELECT * FROM o WHERE overall_rank_by_mean <= 20")
+@query(lambda: f"{_stats_sql()} SELECT hub, round(mean, 4) AS mean, rank() OVER (ORDER BY round(mean, 4) DESC)::BIGINT AS overall_rank_by_mean FROM st")
 def mc_compare_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks over all hubs, shown for those that lead."""
+    """Ranks of all hubs by their means."""
     s, _ = written(_stats(spark, sf_dir).select("hub", F.round("mean", 4).alias("mean")))
-    return C.global_rank(s, "mean", "overall_rank_by_mean").where("overall_rank_by_mean <= 20").select("hub", "mean", "overall_rank_by_mean")
+    return C.global_rank(s, "mean", "overall_rank_by_mean").select("hub", "mean", "overall_rank_by_mean")
 
 
-_UNW = " UNION ALL ".join(f"SELECT '{c}' AS criterion, w{j} AS x FROM w" for j, c in enumerate(C.CRITERIA))
+@query(lambda: f"{_stats_sql()} SELECT hub, round(mean, 4) AS mean, round(p05, 4) AS p05, round(p95, 4) AS p95 FROM st WHERE hub IN (SELECT hub FROM fh ORDER BY hub LIMIT 5)")
+def mc_chosen_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributions of hubs asked for by id: the first five."""
+    ids = [r["hub"] for r in surveyed(spark, sf_dir).select("hub").orderBy("hub").limit(5).collect()]
+    s, _ = written(_stats(spark, sf_dir))
+    return M.chosen(s, "hub", ids).select("hub", *_round(s, "mean", "p05", "p95"))
 
 
-@query(f"WITH {_WEIGHTS} SELECT criterion, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(min(x), 6) AS least, round(max(x), 6) AS most FROM ({_UNW}) GROUP BY criterion")
-def mc_weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weight_stats(M.sequence_weights(spark, N, DRAWS))
+_UNW = " UNION ALL ".join(f"SELECT '{c}' AS criterion, w{j} AS x FROM w" for j, c in enumerate(C.CRITERIA))
 
 
-def _weight_stats(w: DataFrame) -> DataFrame:
+@query(lambda: f"WITH {_w()} SELECT criterion, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(min(x), 6) AS least, round(max(x), 6) AS most FROM ({_UNW}) GROUP BY criterion")
+def mc_weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = M.weights_table(spark, _draws())
     long = w.select(F.inline(F.array(*(F.struct(F.lit(c).alias("criterion"), F.col(f"w{j}").alias("x")) for j, c in enumerate(C.CRITERIA)))))
     return long.groupBy("criterion").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", 0.5), 6).alias("median"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"))
 
 
-@query(f"WITH {_WEIGHTS} SELECT iteration, " + ", ".join(f"round(w{j}, 6) AS w{j}" for j in range(N)) + f" FROM w WHERE greatest({', '.join(f'w{j}' for j in range(N))}) <= 0.35")
-def mc_rejection_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws are normalised, then those over the limit are rejected."""
-    w = M.sequence_weights(spark, N, DRAWS)
-    return w.where(F.greatest(*(F.col(f"w{j}") for j in range(N))) <= 0.35).select("iteration", *(F.round(f"w{j}", 6).alias(f"w{j}") for j in range(N)))
+def _raw_draws(rows: int) -> np.ndarray:
+    """Uniform draws as the rejecting samplers take them, batch after batch."""
+    rng = np.random.RandomState(S.MC_SEED)
+    return np.concatenate([rng.rand(4 * RAW_DRAWS, N) for _ in range(-(-rows // (4 * RAW_DRAWS)))])
 
 
-@query(f"{SIM} SELECT hub, iteration, round(score, 6) AS score, rank::BIGINT AS rank FROM rk WHERE rank <= 50")
-def mc_leaders_by_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw rows of each draw's leaders, a top-k report."""
-    return _ranked(spark, sf_dir).where("rank <= 50").select("hub", "iteration", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+_EACH = ", ".join(f"w{j}" for j in range(N))
+_TOTAL = " + ".join(f"w{j}" for j in range(N))
+_NORMED = ", ".join(f"w{j} / ({_TOTAL}) AS w{j}" for j in range(N))
 
 
-# The same with the draws of production: every one of MC_ITERATIONS, of scores that aren't rounded. SQL can't repeat the draws.
+def _drawn_again(spark: SparkSession, sampler: str) -> DataFrame:
+    w = M.weights_table(spark, M.draw_weights(N, RAW_DRAWS, sampler=sampler, top=S.MC_TOP))
+    return w.select(F.col("iteration").cast("bigint").alias("iteration"), *(F.round(f"w{j}", 6).alias(f"w{j}") for j in range(N)))
 
 
-def _drawn():
-    return M.draw_weights(N)
+def _kept_sql(over: str, under: str) -> str:
+    pick = ", ".join(f"round(w{j}, 6) AS w{j}" for j in range(N))
+    return f"WITH {_values(_raw_draws(64 * RAW_DRAWS), 'u')}, k AS ({over}), n AS (SELECT row_number() OVER (ORDER BY iteration) - 1 AS iteration, {_EACH} FROM ({under})) SELECT iteration, {pick} FROM n WHERE iteration < {RAW_DRAWS}"
 
 
-def _full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return M.simulated_distributions(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _drawn())
+@query(lambda: _kept_sql(f"SELECT * FROM u WHERE greatest({_EACH}) <= {S.MC_TOP}", f"SELECT iteration, {_NORMED} FROM k"))
+def mc_reject_then_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws over the limit are drawn again, then normalised."""
+    return _drawn_again(spark, "reject_norm")
 
 
-def _full_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return M.simulated_ranks(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _drawn())
+@query(lambda: _kept_sql(f"SELECT iteration, {_NORMED} FROM u", f"SELECT * FROM k WHERE greatest({_EACH}) <= {S.MC_TOP}"))
+def mc_rejection_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws are normalised, then those over the limit are drawn again."""
+    return _drawn_again(spark, "norm_reject")
+
+
+@query(lambda: f"{SURVEYED}, {_values(M.draw_weights(N, RAW_DRAWS))}, sim AS (SELECT hub, iteration, {_DOT} AS score FROM rs CROSS JOIN w) SELECT hub, iteration, round(score, 6) AS score, row_number() OVER (PARTITION BY iteration ORDER BY score DESC, hub) AS rank FROM sim")
+def mc_raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows: every hub in every draw, with its rank there."""
+    sim = M.simulate(surveyed(spark, sf_dir), "hub", C.CRITERIA, M.weights_table(spark, M.draw_weights(N, RAW_DRAWS)))
+    return M.with_ranks(sim, "hub").select("hub", "iteration", F.round("score", 6).alias("score"), "rank")
+
+
+# The same on the larger stand-in, whose draws are too many rows for SQL.
 
 
 @query()
 def final_score_mc_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.mean_score(C.criteria(hubs(spark, sf_dir)), C.CRITERIA, _drawn()).select("hub", F.round("final_score", 4).alias("final_score"))
+    return M.mean_score(C.criteria(hubs(spark, sf_dir)), C.CRITERIA, _draws()).select("hub", F.round("final_score", 4).alias("final_score"))
 
 
 @query()
 def mc_distribution_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _full_stats(spark, sf_dir)
+    ship(spark)
+    s = M.simulated_distributions(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _draws())
     return s.select("hub", *_round(s, *_A, "iqr"))
 
 
 @query()
 def mc_rank_robustness_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _full_ranks(spark, sf_dir)
+    ship(spark)
+    s = M.simulated_ranks(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, _draws())
     return s.select("hub", *_round(s, "mean_rank", "p_top1", "p_top3", "p_top5"))
 
 
-@query()
-def mc_conservative_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, _ = written(_full_stats(spark, sf_dir).select("hub", F.round("p10", 4).alias("p10")))
-    return M.conservative_rank(s, 10).select("hub", "p10", "conservative_rank")
-
-
-@query()
-def mc_robust_winners_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.robust_winners(_full_ranks(spark, sf_dir), 3, 0.05).select("hub", F.round("p_top3", 4).alias("p_top3"))
-
-
-@query()
-def mc_compare_hubs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of all hubs."""
-    s, _ = written(_full_stats(spark, sf_dir).select("hub", F.round("mean", 4).alias("mean")))
-    return C.global_rank(s, "mean", "overall_rank_by_mean").select("hub", "mean", "overall_rank_by_mean")
-
-
-@query()
-def mc_weight_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weight_stats(M.weights_table(spark, _drawn()))
-
-
-@query()
-def mc_raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw rows: every hub in every draw."""
-    sim = M.simulate(C.criteria(hubs(spark, sf_dir)), "hub", C.CRITERIA, M.weights_table(spark, _drawn()))
-    return sim.select("hub", "iteration", F.round("score", 6).alias("score"))
-
-
 # expert judgements ------------------------------------------------------------------------------------
 
 _LONG = """WITH good AS (SELECT expert, criterion_a AS a, criterion_b AS b, value AS v, comparison_id AS o FROM ahp_expert_comparisons
@@ -234,58 +266,61 @@ def ahp_aggregate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.aggregate_experts(H.geometric_weights(_m(spark, sf_dir)), "median").select("criterion", F.round("weight", 6).alias("weight"))
 
 
-# The example of three experts, upper triangle in the order of the criteria.
+#: The matrix squared again and again: its columns turn into the eigenvector.
+_EIGEN = """d AS (SELECT DISTINCT expert, i FROM m), full_m AS (SELECT a.expert, a.i, b.i AS j, coalesce(m.v, 0)::DOUBLE AS v FROM d a JOIN d b USING (expert) LEFT JOIN m ON m.expert = a.expert AND m.i = a.i AND m.j = b.i),
+  sq(k, expert, i, j, v) AS (SELECT 0, expert, i, j, v FROM full_m UNION ALL SELECT k + 1, expert, i, j, x / max(x) OVER (PARTITION BY expert) FROM
+    (SELECT a.k, a.expert, a.i, b.j, sum(a.v * b.v) AS x FROM sq a JOIN sq b ON a.expert = b.expert AND a.j = b.i WHERE a.k < 16 GROUP BY ALL)),
+  rw AS (SELECT expert, i AS criterion, sum(v) AS s FROM sq WHERE k = 16 GROUP BY ALL)"""
+
+
+@query(f"{_LONG.replace('WITH good', 'WITH RECURSIVE good')}, {_EIGEN} SELECT expert, criterion, round(s / sum(s) OVER (PARTITION BY expert), 6) AS weight FROM rw")
+def ahp_eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The principal eigenvector of every expert's matrix."""
+    return H.priorities(_m(spark, sf_dir)).select("expert", "criterion", F.round("weight", 6).alias("weight"))
+
+
+# The judgements of three experts, upper triangle in the order of the criteria.
 EXAMPLE = {
     "transport_planner": (3, 5, 2, 4, 3, 0.5, 2, 0.333, 0.5, 2),
     "urban_economist": (1, 2, 0.5, 3, 2, 0.5, 3, 0.333, 2, 5),
     "accessibility_expert": (2, 1, 3, 5, 0.5, 2, 4, 4, 7, 3),
 }
-EXPECTED = {
-    "transport_planner": (0.4246, 0.1655, 0.0668, 0.2352, 0.1079),
-    "urban_economist": (0.2122, 0.2122, 0.1194, 0.3869, 0.0693),
-    "accessibility_expert": (0.3131, 0.1811, 0.3528, 0.1052, 0.0477),
-}
 EXAMPLE_CRITERIA = ("activity", "service", "location", "pop_jobs", "terminal")
 
 
-def example(spark: SparkSession) -> DataFrame:
+def _judgements() -> list[tuple[str, str, str, float]]:
     pairs = [(a, b) for k, a in enumerate(EXAMPLE_CRITERIA) for b in EXAMPLE_CRITERIA[k + 1 :]]
-    rows = [(e, a, b, float(v)) for e, vs in EXAMPLE.items() for (a, b), v in zip(pairs, vs)]
-    return spark.createDataFrame(rows, "expert string, criterion_a string, criterion_b string, value double")
+    return [(e, a, b, float(v)) for e, vs in EXAMPLE.items() for (a, b), v in zip(pairs, vs)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{c}', {w}::DOUBLE)" for e, ws in EXPECTED.items() for c, w in zip(EXAMPLE_CRITERIA, ws)) + ") t(expert, criterion, weight)")
-def ahp_eigen_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return H.priorities(H.matrices(example(spark))).select("expert", "criterion", F.round("weight", 4).alias("weight"))
+def example(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_judgements(), "expert string, criterion_a string, criterion_b string, value double")
 
 
-@query()
-def ahp_eigen_weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eigenvector of every expert of the table; ahp_eigen_weights is the example only."""
-    return H.priorities(_m(spark, sf_dir)).select("expert", "criterion", F.round("weight", 6).alias("weight"))
+_JUDGED = "jd(expert, i, j, v) AS (VALUES " + ", ".join(f"('{e}', '{a}', '{b}', {v!r}::DOUBLE)" for e, a, b, v in _judgements()) + """),
+  jm AS (SELECT * FROM jd UNION ALL SELECT expert, j, i, 1 / v FROM jd UNION ALL SELECT DISTINCT expert, unnest([i, j]), unnest([i, j]), 1.0::DOUBLE FROM jd),
+  jg AS (SELECT expert, i, exp(avg(ln(v))) AS g FROM (SELECT DISTINCT * FROM jm) GROUP BY ALL), jw AS (SELECT expert, i, g / sum(g) OVER (PARTITION BY expert) AS w FROM jg),
+  ja AS (SELECT i, exp(avg(ln(w + 1e-10))) AS g FROM jw GROUP BY 1), aw AS (SELECT """ + ", ".join(f"max(g) FILTER (i = '{c}') / sum(g) AS a{k}" for k, c in enumerate(EXAMPLE_CRITERIA)) + " FROM ja)"
+_AHP_DOT = " + ".join(f"{c} * a{k}" for k, c in enumerate(C.CRITERIA))
 
 
-_EW = {c: round(sum(EXPECTED[e][k] for e in EXPECTED) / 3, 6) for k, c in enumerate(C.CRITERIA)}
-_AHP_DOT = " + ".join(f"{c} * {w}::DOUBLE" for c, w in _EW.items())
-BOTH = f"{ROUNDED}, b AS (SELECT hub, round({_AHP_DOT}, 4) AS ahp, round((activity_score + service_score + location_score + pop_jobs_score + terminal_score) * 0.2, 4) AS mc FROM rs)"
+def _both_sql() -> str:
+    return f"{SURVEYED}, {_w()}, mw AS (SELECT {_MEAN_W} FROM w), {_JUDGED}, b AS (SELECT hub, round({_AHP_DOT}, 4) AS ahp, round({_MEAN_DOT}, 4) AS mc FROM rs CROSS JOIN mw CROSS JOIN aw)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rounded(spark, sf_dir)
-    total = F.col(C.CRITERIA[0])
-    for c in C.CRITERIA[1:]:
-        total = total + F.col(c)
-    both = r.select("hub", F.round(C.weighted(C.CRITERIA, _EW.values()), 4).alias("ahp"), F.round(total * 0.2, 4).alias("mc"))
-    return written(both)[0]  # two rankings read it
+    """hub, ahp, mc: the score by the experts' judgements and the mean over all Monte-Carlo draws."""
+    scored = M.mean_score(surveyed(spark, sf_dir), C.CRITERIA, _draws(), "mc")
+    judged, _ = O.ahp_run(scored, example(spark), dict(zip(EXAMPLE_CRITERIA, C.CRITERIA)), "geometric_mean")
+    return written(judged.select("hub", F.round("ahp_score", 4).alias("ahp"), F.round("mc", 4).alias("mc")))[0]  # two rankings read it
 
 
-@query(f"{BOTH} SELECT hub, ahp, rank() OVER (ORDER BY ahp DESC)::BIGINT AS ahp_rank FROM b")
+@query(lambda: f"{_both_sql()} SELECT hub, ahp, rank() OVER (ORDER BY ahp DESC)::BIGINT AS ahp_rank FROM b")
 def ahp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.global_rank(_both(spark, sf_dir), "ahp", "ahp_rank").select("hub", "ahp", "ahp_rank")
 
 
-@query(f"{BOTH}, r AS (SELECT *, rank() OVER (ORDER BY ahp DESC) AS ra, rank() OVER (ORDER BY mc DESC) AS rm FROM b) SELECT count(*)::BIGINT AS n, round(corr(ahp, mc), 4) AS score_correlation, round(corr(ra, rm), 4) AS rank_correlation, max(abs(ra - rm))::BIGINT AS largest_difference FROM r")
+@query(lambda: f"{_both_sql()}, r AS (SELECT *, rank() OVER (ORDER BY ahp DESC) AS ra, rank() OVER (ORDER BY mc DESC) AS rm FROM b) SELECT count(*)::BIGINT AS n, round(corr(ahp, mc), 4) AS score_correlation, round(corr(ra, rm), 4) AS rank_correlation, max(abs(ra - rm))::BIGINT AS largest_difference FROM r")
 def mc_vs_ahp(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = C.global_rank(C.global_rank(_both(spark, sf_dir), "ahp", "ra"), "mc", "rm")
     return b.agg(
@@ -293,7 +328,7 @@ def mc_vs_ahp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{BOTH} SELECT hub FROM (SELECT hub FROM b ORDER BY ahp DESC, hub LIMIT 20) INTERSECT SELECT hub FROM (SELECT hub FROM b ORDER BY mc DESC, hub LIMIT 20)")
+@query(lambda: f"{_both_sql()} SELECT hub FROM (SELECT hub FROM b ORDER BY ahp DESC, hub LIMIT 20) INTERSECT SELECT hub FROM (SELECT hub FROM b ORDER BY mc DESC, hub LIMIT 20)")
 def top_n_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: what both lists of leaders hold."""
     b = _both(spark, sf_dir)
@@ -301,7 +336,7 @@ def top_n_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first("ahp").intersect(first("mc"))
 
 
-@query(f"{BOTH}, r AS (SELECT hub, abs(rank() OVER (ORDER BY ahp DESC) - rank() OVER (ORDER BY mc DESC))::BIGINT AS rank_diff FROM b) SELECT hub, rank_diff FROM r ORDER BY rank_diff DESC, hub LIMIT 10")
+@query(lambda: f"{_both_sql()}, r AS (SELECT hub, abs(rank() OVER (ORDER BY ahp DESC) - rank() OVER (ORDER BY mc DESC))::BIGINT AS rank_diff FROM b) SELECT hub, rank_diff FROM r ORDER BY rank_diff DESC, hub LIMIT 10")
 def largest_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report."""
     b = C.global_rank(C.global_rank(_both(spark, sf_dir), "ahp", "ra"), "mc", "rm")

@@ -11,7 +11,7 @@ def test_eigenvectors_of_the_table(spark, tmp_path):
     rows = [("x", "a", "b", 3.0), ("x", "b", "c", 2.0), ("y", "a", "b", 5.0), ("y", "b", "c", 4.0), ("y", "c", "a", 7.0)]
     rows = [(k, *r) for k, r in enumerate(rows)]
     spark.createDataFrame(rows, "comparison_id long, expert string, criterion_a string, criterion_b string, value double").write.parquet(f"{tmp_path}/ahp_expert_comparisons.parquet")
-    got = {(r.expert, r.criterion): r.weight for r in Q["ahp_eigen_weights_full"](spark, str(tmp_path)).collect()}
+    got = {(r.expert, r.criterion): r.weight for r in Q["ahp_eigen_weights"](spark, str(tmp_path)).collect()}
     for e in "xy":
         m = np.eye(3)
         for _, f, a, b, v in rows:
