@@ -80,6 +80,26 @@ def tier(modes: Column, lines: Column, demand: Column, metro_min: float | None =
     )
 
 
+def former_tier(modes: Column, lines: Column, demand: Column) -> Column:
+    """The former ladder under its English names; generic rail is no rail there."""
+    n, d = F.coalesce(lines, F.lit(0)), F.coalesce(no_nan(demand), F.lit(0.0))
+    fast, rail = any_member(modes, ("HighSpeed Rail", "Interurban Rail")), any_member(modes, ("HighSpeed Rail", "Interurban Rail", "Suburban Rail"))
+    return (
+        F.when(fast & (n >= 3) & (d >= S.TIER_DEMAND[0]), "National")
+        .when((rail | any_member(modes, ("Metro",))) & (n >= 3), "Regional")
+        .when(any_member(modes, ("BRT", "LRT")) & (n >= 3) & (d >= S.MIN_PASSENGERS), "Local")
+        .when(rail & (n <= 2), "Train Station")
+        .otherwise("Not Hub")
+    )
+
+
+def corrected_modes(modes: Column) -> Column:
+    """Short rail names made long; generic rail dropped; none for a null list."""
+    long = {"HighSpeed": "HighSpeed Rail", "Interurban": "Interurban Rail", "Suburban": "Suburban Rail"}
+    plain = F.transform(modes, lambda m: F.trim(F.replace(m, F.lit(","), F.lit(""))))
+    return F.coalesce(F.transform(F.filter(plain, lambda m: m != "Rail"), lambda m: F.coalesce(lookup(long, m), m)), F.array().cast("array<string>"))
+
+
 def mode_service(modes: Column, lines: Column) -> Column:
     """Weights of the modes times the root of the lines per mode, with a bonus for each mode more."""
     n = F.size(modes)
@@ -132,6 +152,17 @@ def pop_jobs(pop: list[Column], jobs: list[Column], tier_: Column) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def pop_jobs_raw(pop: list[Column], jobs: list[Column], tier_: Column) -> Column:
+    """People and jobs over distance to the power of the decay; jobs count most in the two highest tiers, under either name."""
+    share = F.when(tier_.isin(S.NATIONAL, S.METROPOLITAN, "National", "Regional"), 0.8).otherwise(0.2)
+    parts = [(p * (1 - share) + j * share) / m**S.DECAY for p, j, m in zip(pop, jobs, S.RING_MIDPOINTS)]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def first_model(district: Column, area: Column) -> Column:
+    return F.coalesce(F.get(candidate_models(district, area), 0), F.lit("Unknown"))
+
+
 def candidate_models(district: Column, area: Column) -> Column:
     """The models whose keywords the text of district and area holds, in order, each once."""
     text = F.concat_ws(" ", district, area)

@@ -1,5 +1,7 @@
 """Fixed values of the scoring domain: sets, weights, thresholds. Each can be overridden where it is used."""
 
+from typing import NamedTuple
+
 # Fixed values.
 MASS_TRANSIT = ("Rail", "HighSpeed Rail", "Metro", "LRT", "BRT")
 RAIL_ONLY = ("Rail", "Suburban Rail", "Interurban Rail")
@@ -122,3 +124,31 @@ SHEET_REGIONS = {
 }
 NODE_OVERRIDES = ((400424, 64985.0, 43032.0), (400021, 23083.0, 10140.0), (400030, 14518.0, 6101.0), (511246, 13601.0, 6101.0), (511248, 255.3, None))
 MODE_LABELS_HE = {"Rail": "רכבת", "HighSpeed Rail": "רכבת מהירה", "Interurban Rail": "רכבת בינעירונית", "Suburban Rail": "רכבת פרברית", "Metro": "מטרו", "LRT": 'רק"ל', "BRT": "BRT"}
+
+
+class RegionColumns(NamedTuple):
+    """Where a model's sheet has what; transfers add up."""
+
+    node: str
+    boardings: str
+    alightings: str
+    transfers: tuple[str, ...] = ()
+
+
+# The columns of each model's sheet, and of any other.
+REGION_COLUMNS = {
+    "Beer Sheva": RegionColumns("NODE_ID", "Boardings", "Alightings"),
+    "Hadera": RegionColumns("NodeID", "On", "Off"),
+    "Tel Aviv": RegionColumns("Node", "TotalBoardings", "TotalAlight", ("TransferBoardings", "TransferAlight")),
+    "Ashdod-Ashkelon": RegionColumns("Node", "InitialBoardings", "FinalAlight"),
+    "Haifa": RegionColumns("Node", "TotalBoardings", "TotalAlight", ("TransferBoardings", "TransferAlight")),
+    "Haifa Metronit": RegionColumns("ModelNode", "Boardings_Daily", "Alightings_Daily"),
+    "Jerusalem": RegionColumns("ID", "DailyBoard_2050", "DailyAlight_2050"),
+    "Rail": RegionColumns("Node", "Boardings", "Alightings"),
+}
+REGION_DEFAULT = RegionColumns("Node", "Boardings", "Alightings", ("TotalTransfers",))
+#: Lines of one area that no analysis counts.
+DROPPED_AREA, DROPPED_LINES = "Netanya", ("LRT151", "LRT152")
+#: A group that was merged by hand, and into which.
+MERGED_GROUPS = {577: 576}
+AREAS_BY_FIRST_WORD = {"תל": "תל אביב", "באר": "באר שבע"}

@@ -56,6 +56,11 @@ def fix_truncated(c: Column) -> Column:
     return F.coalesce(F.try_element_at(whole, c), words)
 
 
+def correct_area(c: Column) -> Column:
+    """The whole name of an area of which only the first word is left; any other stays."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in S.AREAS_BY_FIRST_WORD.items() for x in kv)), c), c)
+
+
 def fix_mojibake(c: Column) -> Column:
     """windows-1255 text that was read as latin-1; anything else stays. Needs spark.sql.legacy.javaCharsets."""
     raw = F.when(c.rlike(r"^[\x00-\xFF]*$") & c.rlike(r"[\xE0-\xFA]"), c)

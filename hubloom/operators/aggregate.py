@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubloom.functions import rules
@@ -81,3 +82,30 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new, and the rows of old whose key new lacks. Rows of old without a key stay."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def without_listed_lines(rows: DataFrame, lines: DataFrame, area: str = S.DROPPED_AREA, names: Iterable[str] = S.DROPPED_LINES) -> DataFrame:
+    """rows but those of the named lines that the area has."""
+    listed = lines.where((F.col("area") == area) & F.col("line_model_name").isin(list(names))).select(F.col("line_model_name").alias("line_id")).distinct()
+    return rows.join(listed, "line_id", "left_anti")
+
+
+def rename_rings(df: DataFrame, prefixes: Iterable[str], radii: tuple[int, ...] = (0, 500, 1000, 1500)) -> DataFrame:
+    """prefix1, prefix2.. under the names of their radii: prefix_0_500 and so on; columns that are missing are left out."""
+    return df.withColumnsRenamed({f"{p}{k + 1}": f"{p}_{a}_{b}" for p in prefixes for k, (a, b) in enumerate(zip(radii, radii[1:]))})
+
+
+def flag_summary(df: DataFrame, flags: Mapping[str, Column], together: Iterable[str]) -> DataFrame:
+    """criterion, count, percentage: all rows, those that meet all of `together`, each flag, and those that don't meet all. One aggregation."""
+    every = reduce(lambda a, b: a & b, [flags[n] for n in together])
+    hit = lambda c: F.count(F.when(F.coalesce(c, F.lit(False)), 1))
+    one = df.agg(F.count("*").alias("n"), hit(every).alias("a"), *(hit(c).alias(f"c{k}") for k, c in enumerate(flags.values())))
+    rows = [("Total", F.col("n")), ("All", F.col("a")), *((name, F.col(f"c{k}")) for k, name in enumerate(flags)), ("None of all", F.col("n") - F.col("a"))]
+    long = one.select("n", F.inline(F.array(*(F.struct(F.lit(name).alias("criterion"), c.alias("count")) for name, c in rows))))
+    return long.select("criterion", "count", F.round(F.try_divide(F.col("count") * 100.0, F.col("n")), 1).alias("percentage"))
+
+
+def renumbered(df: DataFrame, group: str, merged: Mapping[int, int]) -> DataFrame:
+    """df with single groups under another's number."""
+    to = F.create_map(*(F.lit(x).cast("bigint") for pair in merged.items() for x in pair))
+    return df.withColumn(group, F.coalesce(F.try_element_at(to, F.col(group)), F.col(group)))

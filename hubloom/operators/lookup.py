@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubloom.operators.drift import number
+from hubloom.functions.settings import RegionColumns
+from hubloom.operators.drift import number, whole
 
 
 def demand_by_node(rows: DataFrame) -> DataFrame:
@@ -30,6 +31,25 @@ def standardise(records: DataFrame, body: str, nodes: Iterable[str], boardings:
     )
 
 
+def by_region(records: DataFrame, body: str, model: str, regions: Mapping[str, RegionColumns], other: RegionColumns) -> DataFrame:
+    """records with node, boardings, alightings and transfers, from the columns that their model's sheet has them in.
+
+    A missing transfer column counts nothing, any other gives null.
+    """
+    def of(c: RegionColumns) -> Column:
+        value = lambda k: F.try_element_at(F.col("_m"), F.lit(k))
+        total = F.lit(0.0)
+        for t in c.transfers:
+            total = total + F.coalesce(number(value(t)), F.lit(0.0))
+        return F.struct(whole(value(c.node)).alias("node"), number(value(c.boardings)).alias("boardings"), number(value(c.alightings)).alias("alightings"), total.alias("transfers"))
+
+    found = of(other)
+    for name, c in regions.items():
+        found = F.when(F.col(model) == name, of(c)).otherwise(found)
+    df = records.withColumn("_m", F.from_json(body, "map<string,string>")).withColumn("_v", found)
+    return df.select(*records.columns, "_v.*")
+
+
 def prioritised_lookup(nodes: DataFrame, demand: DataFrame, group: str, node: str, candidates: Column, overlays: Iterable[str]) -> DataFrame:
     """group, demand, transfers: the sum over a group's nodes of what the first model has for each.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hubloom.functions import hexgrid as X
 from hubloom.functions.geometry import polygons, wkt_centroid
 from hubloom.operators.near import regions_around
 
@@ -201,3 +204,24 @@ def bounds_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     side = lambda c: F.greatest(F.lit(0.0), F.least(f"a_max_{c}", f"b_max_{c}") - F.greatest(f"a_min_{c}", f"b_min_{c}"))
     whole = (F.col("a_max_x") - F.col("a_min_x")) * (F.col("a_max_y") - F.col("a_min_y"))
     return j.withColumn("coverage", F.try_divide(side("x") * side("y"), whole))
+
+
+def dissolve(cells: DataFrame, group: str, edge: float = X.EDGE) -> DataFrame:
+    """group, cells, area, edges, perimeter, outline: the union of each group's cells (q, r; once each).
+
+    An edge that two cells of a group share isn't of its outline: edges are counted by
+    group and place, so no cell is compared with another. outline: MULTILINESTRING of what
+    is left, a line for each edge.
+    """
+    corner = X.corners(F.col("q"), F.col("r"), edge)
+    spot = lambda k: F.struct(F.round(F.get("_c", k)["x"], 3).alias("x"), F.round(F.get("_c", k)["y"], 3).alias("y"))
+    sides = F.array(*(F.struct(F.least(spot(k), spot((k + 1) % 6)).alias("a"), F.greatest(spot(k), spot((k + 1) % 6)).alias("b")) for k in range(6)))
+    each = cells.withColumn("_c", corner).select(group, F.inline(sides))
+    outer = each.groupBy(group, "a", "b").agg(F.count("*").alias("n")).where("n = 1")
+    text = lambda p: F.concat_ws(" ", *(F.format_string("%.3f", F.col(f"{p}.{c}")) for c in ("x", "y")))
+    lines = outer.groupBy(group).agg(F.count("*").alias("edges"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("("), text("a"), F.lit(", "), text("b"), F.lit(")")))), ", ").alias("outline"))
+    counted = cells.groupBy(group).agg(F.count("*").alias("cells"))
+    return counted.join(lines, group).select(
+        group, "cells", (F.col("cells") * (1.5 * math.sqrt(3) * edge * edge)).alias("area"), "edges", (F.col("edges") * edge).alias("perimeter"),
+        F.concat(F.lit("MULTILINESTRING ("), "outline", F.lit(")")).alias("outline"),
+    )

@@ -109,38 +109,21 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("row_id", "p.x", "p.y")
 
 
-def _surveyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "transit_nodes").where("x is not null and y is not null").select(F.col("row_id").alias("id"), "x", "y")
-
-
-@query(f"WITH {_IN} SELECT pt.id, min(zone_id) AS zone_id FROM pt LEFT JOIN inside USING (id) GROUP BY pt.id")
-def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first zone around each place surveyed by x and y; point_in_zone_full has all places."""
-    return _first_zone(spark, sf_dir, _surveyed(spark, sf_dir))
-
-
 def _first_zone(spark: SparkSession, sf_dir: str, places: DataFrame) -> DataFrame:
     cut = slabs(table(spark, sf_dir, "zones"), "zone_id", "geometry")
     return P.first_region(places, cut).select("id", F.col("region").alias("zone_id"))
 
 
 @query(f"WITH {_whole(_IN)} SELECT pt.id, min(zone_id) AS zone_id FROM pt LEFT JOIN inside USING (id) GROUP BY pt.id")
-def point_in_zone_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first zone around each surveyed place, also of those that have only a geometry text."""
     return _first_zone(spark, sf_dir, located(spark, sf_dir).withColumnRenamed("row_id", "id"))
 
 
-@query(f"""WITH {_IN}, f AS (SELECT pt.id, any_value(pt.y) AS y, min(zone_id) AS zone_id FROM pt LEFT JOIN inside USING (id) GROUP BY pt.id)
-  SELECT f.id, coalesce(z.metro_name, CASE WHEN f.y < 600000 THEN 'South district' WHEN f.y < 750000 THEN 'North district' END, 'Unknown') AS area FROM f LEFT JOIN zones z USING (zone_id)""")
-def zone_then_district_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A zone's name, else the district's, else unknown, for places surveyed by x and y. Districts are two rectangles here."""
-    return _areas(spark, sf_dir, _surveyed(spark, sf_dir))
-
-
 @query(f"""WITH {_whole(_IN)}, f AS (SELECT pt.id, any_value(pt.y) AS y, min(zone_id) AS zone_id FROM pt LEFT JOIN inside USING (id) GROUP BY pt.id)
   SELECT f.id, coalesce(z.metro_name, CASE WHEN f.y < 600000 THEN 'South district' WHEN f.y < 750000 THEN 'North district' END, 'Unknown') AS area FROM f LEFT JOIN zones z USING (zone_id)""")
-def zone_then_district_fallback_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every surveyed place, also those that have only a geometry text."""
+def zone_then_district_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zone's name, else the district's, else unknown, for every surveyed place, also those that have only a geometry text. Districts are two rectangles here."""
     return _areas(spark, sf_dir, located(spark, sf_dir).withColumnRenamed("row_id", "id"))
 
 
@@ -200,8 +183,8 @@ _HEX = f"""ax AS (SELECT row_id, (x * ({_SQ3} / 3) - y / 3) / {_EDGE} AS q, (y *
   hx AS (SELECT row_id, CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END::BIGINT AS q, CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END::BIGINT AS r FROM df)"""
 
 
-def _cells(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    t = located(spark, sf_dir) if whole else table(spark, sf_dir, "transit_nodes").where("x is not null and y is not null")
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = located(spark, sf_dir)
     q, r = X.axial(F.col("x"), F.col("y"))
     return t.select("row_id", q.alias("q"), r.alias("r"))
 
@@ -214,18 +197,6 @@ def _hex_cells(c: DataFrame) -> DataFrame:
     return c.select("row_id", X.cell_id(F.col("q"), F.col("r")).alias("cell"), F.round(cx, 3).alias("cx"), F.round(cy, 3).alias("cy"))
 
 
-@query(f"WITH {_HEX} SELECT row_id, q || ':' || r AS cell, round({_EDGE} * {_SQ3} * (q + r / 2), 3) AS cx, round(1.5 * {_EDGE} * r, 3) AS cy FROM hx")
-def hex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell of every place surveyed by x and y, and its centre; hex_cells_full has all places."""
-    return _hex_cells(_cells(spark, sf_dir))
-
-
-@query(f"WITH {_HEX} SELECT DISTINCT c.q + i AS q, c.r + j AS r FROM (SELECT DISTINCT q, r FROM hx) c, range(-1, 2) a(i), range(-1, 2) b(j) WHERE abs(i + j) <= 1")
-def hex_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells in or next to one that holds a place surveyed by x and y."""
-    return _hex_neighbors(_cells(spark, sf_dir))
-
-
 def _hex_neighbors(c: DataFrame) -> DataFrame:
     d = c.select("q", "r").distinct()
     return d.select(F.inline(X.neighbours(F.col("q"), F.col("r"), 1))).distinct()
@@ -234,12 +205,6 @@ def _hex_neighbors(c: DataFrame) -> DataFrame:
 _OFFSETS = X.offsets_within(120.1)
 
 
-@query(f"WITH {_HEX}, c AS (SELECT DISTINCT q, r FROM hx), o AS (SELECT * FROM (VALUES {', '.join(f'({i}, {j})' for i, j in _OFFSETS)}) t(i, j)) SELECT a.q AS qa, a.r AS ra, b.q AS qb, b.r AS rb FROM c a JOIN o ON true JOIN c b ON b.q = a.q + o.i AND b.r = a.r + o.j")
-def hex_proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells at most 120.1 m apart edge to edge: in a grid the distance depends on the offset alone, so this is an equi-join. Of places surveyed by x and y."""
-    return _hex_pairs(_cells(spark, sf_dir))
-
-
 def _hex_pairs(cells: DataFrame) -> DataFrame:
     c = cells.select("q", "r").distinct()
     near = F.array(*(F.struct((F.col("q") + i).alias("qb"), (F.col("r") + j).alias("rb")) for i, j in _OFFSETS))
@@ -248,21 +213,21 @@ def _hex_pairs(cells: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {_whole(_HEX)}{_CELLS}")
-def hex_cells_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell of every surveyed place, also of those that have only a geometry text, and its centre."""
-    return _hex_cells(_cells(spark, sf_dir, whole=True))
+    return _hex_cells(_cells(spark, sf_dir))
 
 
 @query(f"WITH {_whole(_HEX)} SELECT DISTINCT c.q + i AS q, c.r + j AS r FROM (SELECT DISTINCT q, r FROM hx) c, range(-1, 2) a(i), range(-1, 2) b(j) WHERE abs(i + j) <= 1")
-def hex_neighbors_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hex_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells in or next to one that holds any place."""
-    return _hex_neighbors(_cells(spark, sf_dir, whole=True))
+    return _hex_neighbors(_cells(spark, sf_dir))
 
 
 @query(f"WITH {_whole(_HEX)}, c AS (SELECT DISTINCT q, r FROM hx), o AS (SELECT * FROM (VALUES {', '.join(f'({i}, {j})' for i, j in _OFFSETS)}) t(i, j)) SELECT a.q AS qa, a.r AS ra, b.q AS qb, b.r AS rb FROM c a JOIN o ON true JOIN c b ON b.q = a.q + o.i AND b.r = a.r + o.j")
-def hex_proximity_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of cells of all places."""
-    return _hex_pairs(_cells(spark, sf_dir, whole=True))
+def hex_proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all places at most 120.1 m apart edge to edge: in a grid the distance depends on the offset alone, so this is an equi-join."""
+    return _hex_pairs(_cells(spark, sf_dir))
 
 
 @query(f"""WITH {CUSTOMERS}, {TERMINALS}, e AS (SELECT min(c.x) AS ax0, max(c.x) AS ax1, min(c.y) AS ay0, max(c.y) AS ay1 FROM c), g AS (SELECT min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM t)

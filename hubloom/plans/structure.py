@@ -284,16 +284,17 @@ def hebrew_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.round(text.hebrew_ratio(t), 4).alias("ratio"), text.is_valid_hebrew(t).alias("valid"))
 
 
-@query("""SELECT hub_row, CASE metro_position WHEN 'גלעי' THEN 'גלעין' WHEN 'טבעת פנימי' THEN 'טבעת פנימית' WHEN 'צפו' THEN 'צפון' WHEN 'תל אבי' THEN 'תל אביב' ELSE metro_position END AS fixed
-  FROM grouped_hubs WHERE metro_position IN ('גלעי', 'גלעין', 'טבעת פנימי', 'טבעת פנימית', 'צפו', 'צפון', 'תל אבי', 'תל אביב')""")
-def fix_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only rows that are one of eight whole values, which a CASE can repeat; fix_truncation_full has all rows."""
-    known = ("גלעי", "גלעין", "טבעת פנימי", "טבעת פנימית", "צפו", "צפון", "תל אבי", "תל אביב")
-    return table(spark, sf_dir, "grouped_hubs").where(F.col("metro_position").isin(*known)).select("hub_row", text.fix_truncated(F.col("metro_position")).alias("fixed"))
+def _completed_sql(c: str) -> str:
+    """Word by word, twice, as a match takes the sign after it along."""
+    words = c
+    for cut, full in S.TRUNCATED.items():
+        for _ in range(2):
+            words = rf"regexp_replace({words}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_]){cut}([^\p{{L}}\p{{M}}\p{{N}}_]|$)', '\1{full}\2', 'g')"
+    return f"CASE {c} " + " ".join(f"WHEN '{cut}' THEN '{full}'" for cut, full in S.TRUNCATED.items()) + f" ELSE {words} END"
 
 
-@query()
-def fix_truncation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT hub_row, {_completed_sql('metro_position')} AS fixed FROM grouped_hubs")
+def fix_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row, lists and other texts word by word."""
     return table(spark, sf_dir, "grouped_hubs").select("hub_row", text.fix_truncated(F.col("metro_position")).alias("fixed"))
 

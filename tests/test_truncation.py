@@ -16,5 +16,5 @@ def test_all_rows_are_fixed(spark, tmp_path):
             t = re.sub(rf"\b{cut}\b", full, t)
         return t
 
-    got = {r.hub_row: r.fixed for r in entry.queries()["fix_truncation_full"](spark, str(tmp_path)).collect()}
+    got = {r.hub_row: r.fixed for r in entry.queries()["fix_truncation"](spark, str(tmp_path)).collect()}
     assert got == {k: fixed(t) for k, t in enumerate(texts)} and got[1] == "['גלעין']"

@@ -20,11 +20,11 @@ def surveys(spark, tmp_path):
 def test_places_of_geometry_alone(spark, surveys):
     rows = lambda name: Q[name](spark, surveys).collect()
     assert {r.row_id for r in rows("places_in_degrees")} == {1, 2, 3}
-    assert {r.id: r.zone_id for r in rows("point_in_zone_full")} == {1: 7, 2: 7, 3: None}
-    assert {r.id: r.area for r in rows("zone_then_district_fallback_full")} == {1: "M", 2: "M", 3: "North district"}
-    cells = {r.row_id: r for r in rows("hex_cells_full")}
+    assert {r.id: r.zone_id for r in rows("point_in_zone")} == {1: 7, 2: 7, 3: None}
+    assert {r.id: r.area for r in rows("zone_then_district_fallback")} == {1: "M", 2: "M", 3: "North district"}
+    cells = {r.row_id: r for r in rows("hex_cells")}
     assert set(cells) == {1, 2, 3} and abs(cells[3].cx - 200500) <= 66 and abs(cells[3].cy - 650500) <= 66
     held = {r.cell for r in cells.values()}
-    assert held <= {f"{r.q}:{r.r}" for r in rows("hex_neighbors_full")}
-    near = {f"{r.qa}:{r.ra}" for r in rows("hex_proximity_pairs_full")}
+    assert held <= {f"{r.q}:{r.r}" for r in rows("hex_neighbors")}
+    near = {f"{r.qa}:{r.ra}" for r in rows("hex_proximity_pairs")}
     assert near <= held and (cells[1].cell == cells[2].cell or {cells[1].cell, cells[2].cell} <= near)
