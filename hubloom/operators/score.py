@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hubloom.functions import rules
 from hubloom.functions import settings as S
+from hubloom.operators.numbering import parts_ahead
 from hubloom.session import written
 
 
@@ -119,21 +120,20 @@ def ranked(df: DataFrame, by: str, name: str = "rank", pool: Column | None = Non
     return df.withColumn(name, F.when(F.col(by).isNotNull(), f().over(w)).cast("bigint"))
 
 
-def global_rank(df: DataFrame, by: str, name: str = "rank", digits: int = 2) -> DataFrame:
-    """df with the min rank by falling `by` over all rows, for tables of any size.
+def global_rank(df: DataFrame, by: str, name: str = "rank", dense: bool = False) -> DataFrame:
+    """df with the min (or dense) rank by falling `by` over all rows, for tables of any size.
 
-    Values are counted first, then the counts by range of values (rounded to `digits`):
-    a window runs over the ranges' totals, another within each range. Null has no rank.
-    df is read twice: write it first if it is dear.
+    Values are counted and sorted over the cluster; a value's rank is what its sorted
+    partition and the ones before it hold above it. Null has no rank. df is read twice:
+    write it first if it is dear.
     """
-    counts, _ = written(df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(by) * 10**digits)))
-    totals = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
-    before = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    above = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_above"))
-    inside = W.partitionBy("_range").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)
-    place = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(above, "_range")
-    place = place.select(by, (F.col("_above") + F.col("_in") + 1).cast("bigint").alias(name))
-    return df.join(place, by, "left")
+    n = F.lit(1).cast("bigint") if dense else F.count("*")
+    valued = df.where(F.col(by).isNotNull())
+    counts = valued.select(by).distinct().withColumn("_n", n) if dense else valued.groupBy(by).agg(n.alias("_n"))
+    counts, _ = written(counts.orderBy(F.desc(by)).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part").orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)
+    place = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(parts_ahead(counts, F.sum("_n"))), "_part")
+    return df.join(place.select(by, (F.col("_ahead") + F.col("_in") + 1).cast("bigint").alias(name)), by, "left")
 
 
 def top_per_group(df: DataFrame, group: str, by: str, tie: str, n: int) -> DataFrame:

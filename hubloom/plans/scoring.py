@@ -169,10 +169,8 @@ def tier_area_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FINAL} SELECT hub, dense_rank() OVER (PARTITION BY tier ORDER BY final DESC)::BIGINT AS in_tier, dense_rank() OVER (ORDER BY final DESC)::BIGINT AS overall FROM f")
 def dense_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overall rank counts distinct scores, which are far fewer than rows, then joins them back."""
-    f = _final(spark, sf_dir).select("hub", "tier", "final")
-    distinct = C.ranked(f.select("final").distinct(), "final", "overall", how="dense")
-    return C.ranked(f, "final", "in_tier", F.col("tier"), "dense").join(distinct, "final").select("hub", "in_tier", "overall")
+    f, _ = written(_final(spark, sf_dir).select("hub", "tier", "final"))
+    return C.ranked(C.global_rank(f, "final", "overall", dense=True), "final", "in_tier", F.col("tier"), "dense").select("hub", "in_tier", "overall")
 
 
 @query(f"{FINAL} SELECT hub, final FROM f ORDER BY final DESC, hub LIMIT 10")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import warnings
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from pathlib import PurePosixPath
@@ -15,6 +16,7 @@ from hubloom.functions import rules
 from hubloom.functions import settings as S
 from hubloom.functions.text import is_valid_hebrew
 from hubloom.operators.validate import ValidationError
+from hubloom.sources.formats import vector_layer, workbook
 
 #: In the order they are tried.
 ENCODINGS = ("windows-1255", "ISO-8859-8", "utf-8")
@@ -89,16 +91,28 @@ def lines_modes(spark: SparkSession, path: str, encoding: str = "windows-1255")
     return raw.select(*((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in found.items()))
 
 
+def demand_workbook(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, model, sheet, row_no, body, error: the rows of workbooks as JSON bodies, as the drift operators take them.
+
+    A sheet that can't be read is a row with its error; a sheet's region is its model where it is known.
+    """
+    w = workbook(spark, path)
+    known = F.create_map(*(F.lit(x) for kv in S.SHEET_REGIONS.items() for x in kv))
+    model = F.coalesce(F.try_element_at(known, F.lower(F.trim("sheet"))), F.col("sheet"))
+    return w.select("path", model.alias("model"), "sheet", "row_no", F.to_json("cells").alias("body"), "error")
+
+
 def demand_sheets(spark: SparkSession, paths: Mapping[str, str], reader=None) -> DataFrame:
-    """One long table with a model column of many sheets with different columns. Sheets that can't be read are left out.
+    """One long table with a model column of many sheets with different columns. Sheets that can't be read are left out, with a warning.
 
-    Any columnar or text format does as a sheet; a workbook is exported sheet by sheet first.
+    Any columnar or text format does as a sheet; for workbooks see `demand_workbook`.
     """
     frames = []
     for model, path in paths.items():
         try:
             df = (reader or csv)(spark, path)
-        except Exception:
+        except Exception as e:
+            warnings.warn(f"sheet {model} left out: {type(e).__name__}: {e}".splitlines()[0], stacklevel=2)
             continue
         region = S.SHEET_REGIONS.get(model.strip().lower(), model)
         frames.append(df.select(*(F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns)).withColumn("model", F.lit(region)))
@@ -136,17 +150,22 @@ def optional(read, *args) -> DataFrame | None:
     """What the reader gives; None where it fails, for layers that may be missing."""
     try:
         return read(*args)
-    except Exception:
+    except Exception as e:
+        warnings.warn(f"layer left out: {type(e).__name__}: {e}".splitlines()[0], stacklevel=2)
         return None
 
 
 def table_by_suffix(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """csv, parquet, json, geojson and orc by suffix; ValueError for others."""
+    """csv, parquet, json, geojson, orc, shp, gpkg and xlsx by suffix; ValueError for others."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".csv":
         return csv(spark, path, encoding)
     if suffix == ".geojson":
         return geojson(spark, path)
+    if suffix in (".shp", ".gpkg"):
+        return vector_layer(spark, path, encoding)
+    if suffix == ".xlsx":
+        return workbook(spark, path)
     if suffix in (".parquet", ".json", ".orc"):
         return spark.read.format(suffix[1:]).load(path)
     raise ValueError(f"no reader for {suffix or path}")

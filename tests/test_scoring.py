@@ -88,7 +88,7 @@ def test_rank_pools(spark):
     assert got == {"a": 1, "b": 1, "c": 3, "d": 1, "e": 1, "f": 2, "g": 1, "h": 2, "i": None}
     assert {r.id: r["rank"] for r in C.ranked(df, "s", pool=C.scope("tier", None)).collect()}["e"] == 1
     assert {r.id: r["rank"] for r in C.ranked(df, "s", pool=C.scope(None, None)).collect()}["d"] == 8
-    assert {r.id: r.g for r in C.global_rank(df, "s", "g", digits=0).collect()} == {"a": 3, "b": 3, "c": 5, "d": 8, "e": 1, "f": 2, "g": 6, "h": 7, "i": None}
+    assert {r.id: r.g for r in C.global_rank(df, "s", "g").collect()} == {"a": 3, "b": 3, "c": 5, "d": 8, "e": 1, "f": 2, "g": 6, "h": 7, "i": None}
 
 
 def test_normalisation_edges(spark):
