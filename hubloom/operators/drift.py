@@ -51,7 +51,7 @@ _ENTRIES = "map<string,variant>"
 
 
 def plain(key: Column) -> Column:
-    return F.regexp_replace(F.lower(key), r"[\s_\-]+", "")
+    return F.translate(F.lower(key), " \t\n\x0b\f\r_-", "")
 
 
 def _by_name(plain_key: Column, fields: tuple[Field, ...]) -> Column:
@@ -62,8 +62,8 @@ def _by_name(plain_key: Column, fields: tuple[Field, ...]) -> Column:
 def _digits(text: Column) -> Column:
     """A number's text without thousands separators; null if it is none. A comma counts only before three digits."""
     t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d*)?$"), F.regexp_replace(t, ",", "")).when(
-        t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t
+    return F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t).when(
+        t.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+(?:\.\d*)?$"), F.replace(t, F.lit(","), F.lit(""))
     )
 
 
@@ -92,9 +92,10 @@ def _text(v: Column) -> Column:
 def _kind(shape: Column, text: Column) -> Column:
     return (
         F.when((shape == "VOID") | text.isin("NaN", "Infinity", "-Infinity"), F.lit(None))
-        .when(shape.startswith("BIGINT") | shape.rlike(r"^DECIMAL\((?:19|[23]\d),0\)"), "whole")
-        .when(shape.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), "point")
         .when(shape == "STRING", "string")
+        .when(shape == "BIGINT", "whole")
+        .when(shape.startswith("DECIMAL"), F.when(shape.rlike(r"^DECIMAL\((?:19|[23]\d),0\)"), "whole").otherwise("point"))
+        .when(shape.isin("DOUBLE", "FLOAT"), "point")
         .when(shape == "BOOLEAN", "boolean")
         .otherwise("nested")
     )
@@ -246,9 +247,10 @@ def ingest(records: DataFrame, files: DataFrame, fields: tuple[Field, ...] = DEM
     while True:
         by_values, by_spelling = learn(promote(table, approved, fields), files, fields)
         approved = by_values if approved is None else approved.unionByName(by_values)
+        by_spelling, _ = written(by_spelling)
         if by_spelling.isEmpty():
             return promote(table, approved, fields), approved
-        approved, _ = written(approved.unionByName(by_spelling))
+        approved = approved.unionByName(by_spelling)
 
 
 def schema_changes(table: DataFrame, files: DataFrame, fields: tuple[Field, ...] = DEMAND_FIELDS) -> DataFrame:
