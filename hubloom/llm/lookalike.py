@@ -115,6 +115,7 @@ class Looks:
         for c in sorted(self.shown, key=lambda c: (not "\u0391" <= c <= "\u044f", c)):
             self.back.setdefault(script(c), {}).setdefault(self.shown[c], c)
         self.back.pop("LATIN", None)
+        self._forms: dict[str, tuple[str, str]] = {}
 
     @classmethod
     def of(cls, spark: SparkSession) -> Looks:
@@ -134,6 +135,18 @@ class Looks:
         """What all words that any letters of the public list turn into one another have in common."""
         return "".join(self.confusable.get(c, c) for c in ud.normalize("NFD", look))
 
+    def forms(self, word: str) -> tuple[str, str]:
+        """The look of a folded word and its spelling by the table, kept for words that come up again."""
+        found = self._forms.get(word)
+        if found is None:
+            look = self.look(word)
+            found = look, self.by_table(look)
+            if len(word) <= 64:  # only what is kept is bounded
+                if len(self._forms) >= 200_000:
+                    self._forms.clear()
+                self._forms[word] = found
+        return found
+
     def _letters(self, look: str) -> tuple[set[str], set[str]]:
         """A look's Latin letters, and the scripts of its other ones."""
         letters = {c for c in (look if look.isascii() else ud.normalize("NFD", look)) if c.isalpha()}
@@ -300,16 +313,12 @@ def spellings(words: DataFrame, looks: Looks, shards: int | None = None) -> Data
 
 def canonical_text(text: str, chosen: dict[str, str], looks: Looks) -> str:
     """The canonical form of a text, given the spellings that differ from the table's."""
-    kept: dict[str, str] = {}
-
     def one(m: re.Match) -> str:
         word = m.group()
         if word.isascii():
             return chosen.get(word, word)
-        if word not in kept:
-            look = looks.look(word)
-            kept[word] = chosen.get(look) or looks.by_table(look)
-        return kept[word]
+        look, spelled = looks.forms(word)
+        return chosen.get(look) or spelled
 
     return WORD.sub(one, folded(text))
 
