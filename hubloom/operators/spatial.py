@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +106,133 @@ def ring_totals(points: DataFrame, zones: DataFrame, areas: list[Column], area:
     return every.select("id", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in named), F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+def _below(px: np.ndarray, py: np.ndarray, values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each place (x, y) the sums of the rows of values over the points with px < x and py < y.
+
+    A wavelet matrix: points lie by px and are parted by the bits of their rank by py, a
+    place follows its own rank's bits. So the cost is that of the logarithm of the points
+    for each point and place, never of their pairs.
+    """
+    by_x, by_y = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
+    end, limit = np.searchsorted(px[by_x], x), np.searchsorted(py[by_y], y)
+    rank = np.empty(len(px), dtype=np.int64)
+    rank[by_y] = np.arange(len(px))
+    rank, values = rank[by_x], values[by_x]
+    start, out = np.zeros_like(end), np.zeros((len(x), values.shape[1]), dtype=values.dtype)
+    for bit in range(len(px).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        zeros = np.append(0, np.cumsum(~one))
+        turn = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+        rank, values, n = rank[turn], values[turn], zeros[-1]
+        sums = np.zeros((n + 1, values.shape[1]), dtype=values.dtype)
+        np.cumsum(values[:n], axis=0, out=sums[1:])
+        up = np.flatnonzero((limit >> bit) & 1)
+        s0, e0 = zeros[start], zeros[end]
+        for at in range(0, len(up), 1 << 16):
+            here = up[at : at + (1 << 16)]
+            out[here] += sums[e0[here]] - sums[s0[here]]
+        s0[up], e0[up] = n + start[up] - s0[up], n + end[up] - e0[up]
+        start, end = s0, e0
+    return out
+
+
+def _square_sums(points: pd.DataFrame, zones: pd.DataFrame, radii: Sequence[float], sums: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each sum and ring the totals at the points, and whether a zone meets the largest square.
+
+    A zone's area in a quadrant below a place is the product of two ramps, so it is a sum
+    over its corners; a square is four quadrants. Numbers have 64 bits of fraction or more
+    where the machine has them, as large sums are taken from one another. Zones whose value
+    is no finite number, or whose area is a sliver beside the square, are set against each
+    point near them.
+    """
+    wide, reach = np.longdouble, radii[-1]
+    x0, y0, x1, y1 = (zones[c].to_numpy(dtype=float) for c in ("x0", "y0", "x1", "y1"))
+    value = [zones[s].to_numpy(dtype=float) for s in sums]
+    area = (x1 - x0) * (y1 - y0)
+    odd = (area < 1e-6 * reach * reach) | ~np.logical_and.reduce([np.isfinite(v) for v in value])
+    px, py = points["x"].to_numpy(dtype=float), points["y"].to_numpy(dtype=float)
+    # places are taken from the middle of all, to lose no digits
+    mx, my = (px.min() + px.max()) / 2, (py.min() + py.max()) / 2
+    x, y, ends = px.astype(wide) - mx, py.astype(wide) - my, [(x0.astype(wide) - mx, y0.astype(wide) - my), (x1.astype(wide) - mx, y1.astype(wide) - my)]
+    plain = ~odd
+    corners = [(ends[i][0][plain], ends[j][1][plain], 1 if i == j else -1) for i in (0, 1) for j in (0, 1)]
+    cx, cy = (np.concatenate([c[k] for c in corners]) for k in (0, 1))
+    weights = [np.concatenate([c[2] * (v[plain].astype(wide) / area[plain]) for c in corners]) for v in value]
+    quadrants = [(k, i, j) for k in range(len(radii)) for i in (-1, 1) for j in (-1, 1)]
+    qx, qy = (np.concatenate([p + q[of] * radii[q[0]] for q in quadrants]) for of, p in ((1, x), (2, y)))
+    got = _below(cx, cy, np.column_stack([v for w in weights for v in (w, w * cx, w * cy, w * cx * cy)]), qx, qy)
+    held = [[np.zeros(len(x), dtype=wide) for _ in radii] for _ in sums]
+    for n in range(len(sums)):
+        d, dx, dy, dxy = got[:, 4 * n : 4 * n + 4].T
+        ramps = d * qx * qy - dx * qy - dy * qx + dxy
+        for q, (k, i, j) in enumerate(quadrants):
+            held[n][k] += i * j * ramps[q * len(x) : (q + 1) * len(x)]
+    del got
+    rings = [[(held[n][k] - (held[n][k - 1] if k else 0)).astype(float) for k in range(len(radii))] for n in range(len(sums))]
+    # zones that begin before the square's end less those that end before its begin, on both axes
+    met = np.zeros(len(x), dtype=np.int64)
+    one = np.ones((int(plain.sum()), 1), dtype=np.int64)
+    for i in (0, 1):
+        for j in (0, 1):
+            # an end that only touches the square is before its begin, a beginning that touches its end isn't inside
+            ex, ey = (np.nextafter(p - reach, np.inf) if e else p + reach for p, e in ((px, i), (py, j)))
+            met += (1 if i == j else -1) * _below((x1 if i else x0)[plain], (y1 if j else y0)[plain], one, ex, ey)[:, 0]
+    met = met > 0
+    by_x = np.argsort(px, kind="stable")
+    sorted_x = px[by_x]
+    for z in np.flatnonzero(odd):
+        at = by_x[np.searchsorted(sorted_x + reach, x0[z], side="left") : np.searchsorted(sorted_x - reach, x1[z], side="right")]
+        at = at[(y0[z] <= py[at] + reach) & (y1[z] >= py[at] - reach)]
+        inside = [np.zeros(len(at))] + [
+            np.maximum(0, np.minimum(x1[z], px[at] + r) - np.maximum(x0[z], px[at] - r)) * np.maximum(0, np.minimum(y1[z], py[at] + r) - np.maximum(y0[z], py[at] - r)) for r in radii
+        ]
+        met[at] |= inside[-1] > 0
+        for k in range(len(radii)):
+            share = np.minimum(1, (inside[k + 1] - inside[k]) / area[z])
+            for n, v in enumerate(value):
+                with np.errstate(invalid="ignore"):
+                    rings[n][k][at] += v[z] * share
+    return [ring for of in rings for ring in of], met
+
+
+def square_ring_totals(points: DataFrame, zones: DataFrame, radii: Sequence[float], sums: list[str], crowd: tuple[int, int] = (150_000, 50_000)) -> DataFrame:
+    """ring_totals for squares of the half-widths `radii` (rising) over rectangles x0, y0, x1, y1, without a row for each pair.
+
+    Tiles are four reaches wide; a zone is copied to those within reach of it. Each tile's
+    sums are made in one task, or in several where it is crowded: zones and points are
+    dealt to parts of `crowd` rows and parts are added up, each pair of parts a task.
+    """
+    reach, tile = float(radii[-1]), 4 * float(radii[-1])
+    tiles = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - reach) / tile), F.floor((F.col(b) + reach) / tile)))
+    z = zones.where("x1 > x0 and y1 > y0 and not isnan(x1) and not isnan(y1)").select("x0", "y0", "x1", "y1", *(F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in sums))
+    z = z.withColumn("_tx", tiles("x0", "x1")).withColumn("_ty", tiles("y0", "y1"))
+    p = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    p = p.withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
+    cell = ["_tx", "_ty"]
+    parts = lambda df, n, most: df.groupBy(*cell).agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    crowded = F.broadcast(parts(z, "_nz", crowd[0]).join(parts(p, "_np", crowd[1]), cell))  # one row for each tile that has both
+    dealt = lambda df, own, other: (
+        df.join(crowded, cell)
+        .withColumn(own, F.floor(F.rand(0) * F.col(f"_n{own[-1]}")).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"_n{other[-1]}") - 1)))
+        .drop("_nz", "_np")
+    )
+    key = [*cell, "_z", "_p"]
+    named = [f"{s}_zone{i + 1}" for s in sums for i in range(len(radii))]
+
+    def one(a: pa.Table, b: pa.Table) -> pa.Table:  # not pandas, which takes NaN for null
+        rings, met = [np.zeros(len(a))] * len(named), np.zeros(len(a), dtype=bool)
+        if len(a) and len(b):
+            rings, met = _square_sums(a.select(["x", "y"]).to_pandas(), b.to_pandas(), radii, sums)
+        return pa.table([a["id"], *map(pa.array, rings), pa.array(met)], names=["id", *named, "covered"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    each = dealt(p, "_p", "_z").groupBy(*key).cogroup(dealt(z, "_z", "_p").groupBy(*key)).applyInArrow(one, f"id {kind}, " + ", ".join(f"{n} double" for n in named) + ", covered boolean")
+    out = each.groupBy("id").agg(*(F.sum(n).alias(n) for n in named), F.max("covered").alias("covered"))
+    every = points.select("id").join(out, "id", "left")
+    return every.select("id", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in named), F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
 def disc_ring_totals(points: DataFrame, zones: DataFrame, radii: list[float], sums: list[str], wkt: str = "geometry") -> DataFrame:
     """ring_totals for true discs over polygons. zones: wkt and the sums."""
     z = with_shape(zones, wkt)

@@ -162,9 +162,7 @@ _SH = {1: "a1 / t", 2: "(a2 - a1) / t", 3: "(a3 - a2) / t"}
        + ", ".join(f"round(coalesce({s}_zone{i}, 0), 2)::DOUBLE AS {s}_zone{i}" for s in ("pop", "emp") for i in _SH) + ", coalesce(covered, false) AS covered FROM c LEFT JOIN r USING (id)")
 def ring_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People and jobs in rings around each place, by share of area: square rings over rectangles, which SQL can repeat."""
-    overlaps = [P.square_overlap(F.col("x"), F.col("y"), r) for r in RADII]
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    out = P.ring_totals(_customers(spark, sf_dir), _boxes(spark, sf_dir), overlaps, area, RADII[-1], ["pop", "emp"])
+    out = P.square_ring_totals(_customers(spark, sf_dir), _boxes(spark, sf_dir), RADII, ["pop", "emp"])
     return out.select("id", *(F.round(c, 2).alias(c) for c in out.columns[1:-1]), "covered")
 
 

@@ -113,3 +113,34 @@ def test_numbering_and_sample(spark):
     assert [r.number for r in rows] == list(range(1, 1001)) and [(-r.v, r.id) for r in rows] == sorted((-r.v, r.id) for r in rows)
     assert number_in_order(df.limit(0), "id").count() == 0
     assert seeded_sample(df, "id", 5, 1).collect() == seeded_sample(df.repartition(7), "id", 5, 1).collect()
+
+
+def test_square_rings_by_corners(spark):
+    """The same as with a row for each pair: slivers, nested and touching zones, values that are no numbers, crowded tiles."""
+    rng = np.random.default_rng(8)
+    zones = [(float(x), float(y), float(x + a), float(y + b), float(v), float(v % 7)) for x, y, a, b, v in zip(*rng.integers(0, 90, (2, 300)), *rng.integers(0, 30, (2, 300)), rng.integers(-5, 99, 300))]
+    zones += [(5.0, 5.0, 5.0 + 1e-9, 6.0, 50.0, 1.0), (200.0, 200.0, 201.0, 201.0, float("nan"), 1.0), (300.0, 0.0, 301.0, 1.0, float("inf"), 1.0), (-50.0, -50.0, 150.0, 150.0, None, 3.0), (400.0, 0.0, 410.0, 10.0, 1.0, 1.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-20, 120, (200, 2)))]
+    points += [(500, None, 1.0), (501, 200.0, 203.0), (502, 303.0, 0.0), (503, 420.0, 5.0), (504, 419.0, 5.0), (505, 1e6, 1e6), (506, 390.0, -10.0)]
+    z = spark.createDataFrame(zones, "x0 double, y0 double, x1 double, y1 double, pop double, emp double")
+    p = spark.createDataFrame(points, "id long, x double, y double")
+    radii = [2.0, 5.0, 10.0]
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    want = {r.id: tuple(r) for r in P.ring_totals(p, z, [P.square_overlap(F.col("x"), F.col("y"), r) for r in radii], area, 10.0, ["pop", "emp"]).collect()}
+    for crowd in ((100_000, 50_000), (40, 30)):
+        got = {r.id: tuple(r) for r in P.square_ring_totals(p, z, radii, ["pop", "emp"], crowd).collect()}
+        assert set(got) == set(want)
+        for i, r in want.items():
+            assert got[i][-1] == r[-1], i
+            assert got[i][:-1] == pytest.approx(r[:-1], abs=1e-6, nan_ok=True), i
+
+
+def test_places_amid_very_many_zones():
+    """A row for each pair would be 4e9 here."""
+    import pandas as pd
+
+    k = np.arange(40_000)
+    zones = pd.DataFrame({"x0": k % 200, "y0": k // 200, "x1": k % 200 + 1, "y1": k // 200 + 1, "pop": 2.0})
+    points = pd.DataFrame({"x": np.full(100_000, 100.0), "y": np.full(100_000, 100.0)})
+    rings, met = P._square_sums(points, zones, [10.0, 20.0, 99.0], ["pop"])
+    assert met.all() and [float(r[-1]) for r in rings] == pytest.approx([800, 2400, 2 * (198**2 - 40**2)])
