@@ -11,12 +11,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hubloom.functions import settings as S
 from hubloom.operators.score import global_rank
+from hubloom.session import written
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -146,30 +150,164 @@ def simulated_distributions(df: DataFrame, id: str, scores: Sequence[str], w: np
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
-def simulated_ranks(df: DataFrame, id: str, scores: Sequence[str], w: np.ndarray, blocks: int = 48) -> DataFrame:
+class _Column:
+    """A column's numbers as they come in batches: codes of two bytes while it has few distinct ones, else eight bytes each."""
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.most, self.parts = most, []
+        self.known: np.ndarray | None = np.empty(0)  # by code
+        self.order = np.empty(0, dtype=np.int64)  # the codes by rising number
+
+    def add(self, v: np.ndarray) -> None:
+        if self.known is not None:
+            new = np.setdiff1d(v, self.known)
+            if len(self.known) + len(new) > self.most:
+                self.parts, self.known = [self.known[p] for p in self.parts], None
+            elif len(new):
+                self.known = np.concatenate([self.known, new])
+                self.order = np.argsort(self.known, kind="stable")
+        self.parts.append(v if self.known is None else self.order[np.searchsorted(self.known, v, sorter=self.order)].astype(np.uint16))
+
+    def arrange(self, order: np.ndarray) -> None:
+        self.whole = np.concatenate(self.parts or [np.empty(0)])
+        self.parts = []
+        self.whole = self.whole[order]
+
+    def times(self, x: float, at: slice) -> np.ndarray:
+        return self.whole[at] * x if self.known is None else (self.known * x)[self.whole[at]]
+
+
+def _falling(score: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The rows' numbers by falling score, ties by number; in `key`, which is as long.
+
+    Scores are cut to whole numbers and sorted with the row's number in the low bits, which
+    is far cheaper than sorting numbers by their scores; rows whose scores are cut to the
+    same are put in order by the scores themselves.
+    """
+    n = len(score)
+    most, least = score.max(), score.min()
+    if not np.isfinite(most - least):
+        return np.argsort(-score, kind="stable")
+    low = max(1, (n - 1).bit_length())
+    high = min(62 - low, 50)
+    scale = ((1 << high) - 2) / (most - least) if most > least else 0.0
+    if not np.isfinite(scale):
+        return np.argsort(-score, kind="stable")
+    for at in range(0, n, 1 << 16):
+        part = slice(at, min(n, at + (1 << 16)))
+        key[part] = ((most - score[part]) * scale).astype(np.int64)
+        key[part] <<= low
+        key[part] |= np.arange(part.start, part.stop)
+    key.sort()
+    same = np.empty(n, dtype=bool)
+    same[0] = False
+    for at in range(1, n, 1 << 16):
+        end = min(n, at + (1 << 16))
+        same[at:end] = (key[at:end] ^ key[at - 1 : end - 1]) < (1 << low)
+    key &= (1 << low) - 1
+    if same.any():
+        cut = np.append(same[1:], False) | same
+        at = np.flatnonzero(cut)
+        rows = key[at]
+        key[at] = rows[np.lexsort((rows, -score[rows], np.cumsum(~same[at])))]
+    return key
+
+
+def simulated_ranks(df: DataFrame, id: str, scores: Sequence[str], w: np.ndarray, blocks: int | None = None) -> DataFrame:
     """id, mean_rank, p_top1, p_top3, p_top5 over all draws, ranked as in `with_ranks`.
 
-    Draws are dealt to blocks; a block's task holds the scores of all ids, 8 bytes each, and
-    gives sums by id, so no row of a single draw is ever shuffled.
+    Draws are dealt to blocks, by default two for each core. df is written once; a block's
+    task reads all of it from there and holds its scores, 8 bytes for each id and continuous
+    criterion. It gives sums by id, packed a stretch of ids to a row, so nothing is copied
+    for the blocks on disk, and what is shuffled is a number for each id and block.
     """
-    blocks = min(blocks, len(w))
+    spark = df.sparkSession
+    blocks = min(blocks or 2 * spark.sparkContext.defaultParallelism, len(w))
     kind = df.schema[id].dataType.simpleString()
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(id, kind="stable")
-        columns = [group[c].to_numpy(dtype=float) for c in scores]
-        place = np.arange(1, len(group) + 1)
-        total, top = np.zeros(len(group), dtype=np.int64), np.zeros((3, len(group)), dtype=np.int64)
-        for draw in w[int(group["_block"].iloc[0]) :: blocks]:
-            order = np.argsort(-_scores(columns, draw), kind="stable")
-            total[order] += place
-            for k, n in enumerate((1, 3, 5)):
-                top[k][order[:n]] += 1
-        return pd.DataFrame({id: group[id], "r": total, "t1": top[0], "t3": top[1], "t5": top[2]})
-
-    each = df.select(id, *scores, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(blocks, "_block")
-    sums = each.groupBy("_block").applyInPandas(one, f"{id} {kind}, r bigint, t1 bigint, t3 bigint, t5 bigint")
-    return sums.groupBy(id).agg((F.sum("r") / len(w)).alias("mean_rank"), *((F.sum(f"t{k}") / len(w)).alias(f"p_top{k}") for k in (1, 3, 5)))
+    stretch = 1 << 16
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, columns, block = [], [_Column() for _ in scores], None
+        for b in batches:
+            if b.num_rows:
+                block = b.column("_block")[0].as_py() if block is None else block
+                ids.append(b.column("_id"))
+                for k, c in enumerate(columns):
+                    c.add(b.column(f"_s{k}").to_numpy(zero_copy_only=False))
+        if block is None:
+            return
+        ids = pa.chunked_array(ids)
+        order = pc.sort_indices(ids).to_numpy()
+        ids = ids.take(pa.array(order)) if block == 0 else None
+        for c in columns:
+            c.arrange(order)
+        n = len(order)
+        del order
+        # rows with a missing score come last in every draw, in the order of their ids
+        lost = np.zeros(n, dtype=bool)
+        for c in columns:
+            lost |= np.isnan(c.times(1.0, slice(None)))
+        live = np.flatnonzero(~lost) if lost.any() else None
+        m = n if live is None else len(live)
+        if live is not None:
+            for c in columns:
+                c.whole = c.whole[live]
+        mine = w[block::blocks]
+        score, key, rank, total = np.empty(m), np.empty(m, dtype=np.int64), np.empty(m, dtype=np.uint32), np.zeros(m, dtype=np.int64)
+        place = np.arange(1, m + 1, dtype=np.uint32)
+        top: dict[tuple[int, int], int] = {}
+        for draw in mine:
+            for at in range(0, m, 1 << 15):
+                part = slice(at, min(m, at + (1 << 15)))
+                s = columns[0].times(draw[0], part)
+                for c, x in zip(columns[1:], draw[1:]):  # in the order of `dot`, so that equal scores stay equal
+                    s = s + c.times(x, part)
+                score[part] = s
+            order = _falling(score, key) if m else key
+            rank[order] = place
+            total += rank
+            # ids of the first places: beyond the last live one come the lost ones
+            for p in range(min(5, n)):
+                i = int(order[p]) if p < m else p - m
+                top[i if p < m else -1 - i, p] = top.get((i if p < m else -1 - i, p), 0) + 1
+        del score, key, rank, place, columns
+        if live is not None:
+            gone = np.flatnonzero(lost)
+            every = np.empty(n, dtype=np.int64)
+            every[live], every[gone] = total, len(mine) * np.arange(m + 1, n + 1)
+            total = every
+            top = {(int(live[i] if i >= 0 else gone[-1 - i]), p): k for (i, p), k in top.items()}
+        led: dict[int, list[int]] = {}
+        for (i, p), k in top.items():
+            sums = led.setdefault(i, [0, 0, 0])
+            for t, most in enumerate((1, 3, 5)):
+                sums[t] += k * (p < most)
+        for at in range(0, n, stretch):
+            end = min(n, at + stretch)
+            here = sorted(i for i in led if at <= i < end)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_at": [at], "_r": [total[at:end].tobytes()], "_i": [[i - at for i in here]], "_t": [[t for i in here for t in led[i]]],
+                    "_ids": pa.array([ids.slice(at, end - at).to_pylist() if block == 0 else None], type=pa.list_(id_type)),
+                },
+                schema=pa.schema([("_at", pa.int64()), ("_r", pa.binary()), ("_i", pa.list_(pa.int32())), ("_t", pa.list_(pa.int64())), ("_ids", pa.list_(id_type))]),
+            )
+
+    def summed(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(r, dtype=np.int64) for r in parts["_r"])
+        tops = np.zeros((len(total), 3), dtype=np.int64)
+        for i, t in zip(parts["_i"], parts["_t"]):
+            tops[np.asarray(i, dtype=np.int64)] += np.asarray(t, dtype=np.int64).reshape(-1, 3)
+        ids = next(x for x in parts["_ids"] if x is not None)
+        return pd.DataFrame({id: ids, "mean_rank": total / len(w), **{f"p_top{k}": tops[:, j] / len(w) for j, k in enumerate((1, 3, 5))}})
+
+    id_type = to_arrow_type(df.schema[id].dataType)
+    rows, _ = written(df.select(F.col(id).alias("_id"), *(F.col(c).cast("double").alias(f"_s{k}") for k, c in enumerate(scores))), tidy=True)
+    dealt = spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("_block"))
+    # one partition of rows and one for each block: a task for each pair, and no shuffle
+    each = rows.coalesce(1).hint("shuffle_replicate_nl").crossJoin(dealt.hint("shuffle_replicate_nl"))
+    sums = each.mapInArrow(one, f"_at bigint, _r binary, _i array<int>, _t array<bigint>, _ids array<{kind}>")
+    return sums.groupBy("_at").applyInPandas(summed, f"{id} {kind}, mean_rank double, p_top1 double, p_top3 double, p_top5 double")
 
 
 def _quantile(ordered: Column, x: float) -> Column:

@@ -61,8 +61,9 @@ hub AS (SELECT h.*, a.v AS area, lo.v AS location, t.v AS term_type, c.c_custkey
 def node_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hub, node, line, mode, price, status: a row for each line at a node."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    # orders last: rows lie by their hub then, so that grouping by it shuffles nothing
+    return rows.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("hub"), F.col("o_custkey").alias("cust"), F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("line"),
         rules.lookup(MODES, F.col("p_type")).alias("mode"), F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("status"),
     ).where("mode is not null")

@@ -109,14 +109,23 @@ def written_by(df: DataFrame, column: str) -> str:
     return path
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tidy: bool = False) -> tuple[DataFrame, str]:
     """Cuts the lineage: df as a Parquet table in the shared folder, and its path.
 
     All executors share the folder, so the table outlives any of them. It is
-    dropped by `drop_written`, else when the driver ends.
+    dropped by `drop_written`, else when the driver ends. tidy: what was shuffled for it
+    is removed from the executors' disks at once, not when the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hubloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if tidy:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path

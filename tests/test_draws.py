@@ -34,3 +34,18 @@ def test_production_draws(spark, monkeypatch):
     monkeypatch.setattr(simulation.C, "criteria", lambda h: h.select("hub", *(F.col("s").alias(c) for c in simulation.C.CRITERIA)))
     q = entry.queries()
     assert {r.hub: (r.mean_rank, r.p_top1) for r in q["mc_rank_robustness_full"](spark, "").collect()} == {1: (1.0, 1.0), 2: (2.0, 0.0)}
+
+
+def test_rows_are_not_copied_for_the_blocks(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 1.0, 2.0) for i in range(50)], "id long, a double, b double, c double")
+    out = M.simulated_ranks(df, "id", COLUMNS, M.draw_weights(3, 20), blocks=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1 and "_block" not in plan[: plan.index("Exchange")]
+    assert out.count() == 50
+
+
+def test_packed_order_is_the_sorted_one():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 70, 70_000):
+        for s in (rng.random(n), rng.integers(0, 5, n) / 3, np.ones(n), 1 + rng.integers(0, 9, n) * 1e-16, np.append(rng.random(n - 1) * 1e-15, 10.0)):
+            assert (M._falling(s, np.empty(n, np.int64)) == np.argsort(-s, kind="stable")).all()
